@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from traceloom.llm import media, mixing, url_filter
+from traceloom.llm import media, mixing, toxicity, url_filter
 from traceloom.llm.common import table
 
 
@@ -24,8 +25,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("row.doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    held_out = toxicity.fold_of(F.col("doc_id")) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op5_url_filters": op5_url_filters, "op7_mixing": op7_mixing}
+    return {"op1_media_columns": op1_media_columns, "op5_url_filters": op5_url_filters, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
