@@ -17,7 +17,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("row.page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), ["page_id"]).select("row.page_id", "host", "path", "rule", "verdict")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ Expansion stops at the most labels and path parts any rule has: longer expressio
 
 Cases: a null URL and one without ``://`` have empty host and path and fit no rule; only A-Z is
 lower-cased; ports and user names count as part of the host; an empty path fits no rule; repeated
-rows are judged one by one; an empty table gives an empty result; columns of the input are kept in
-the struct ``row``, whatever their names. A rule's path must start and end with ``/``. Of two rules
+rows are judged one by one; an empty table gives an empty result; the columns that are
+asked for are kept in the struct ``row``, whatever their names. A rule's path must start and end with ``/``. Of two rules
 of the same text, block wins.
 """
 
@@ -48,15 +48,14 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return frame.withColumn("rule", F.concat("rule_host", "rule_path")).withColumn("rule_digest", digest).withColumn("rule_short", F.substring(digest, 1, 8))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
-    """(row, host, path, rule, verdict) of each row of ``pages``, read from its column ``url``."""
+def judge_urls(pages: DataFrame, keep: list[str], rules=RULES, default: str = "allow") -> DataFrame:
+    """(row, host, path, rule, verdict) of each row of ``pages``, read from its column ``url``; ``row`` has the columns ``keep``."""
     known = rule_table(pages.sparkSession, rules)
     labels = max([h.count(".") + 1 for h, _, _ in rules], default=1)
     parts = max([p.count("/") for _, p, _ in rules], default=1)
     urls = (
-        pages.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"))
-        .withColumn("host", host_of(F.col("row.url")))
-        .withColumn("path", path_of(F.col("row.url")))
+        pages.select(F.struct(*keep).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+        .withColumn("rid", F.monotonically_increasing_id())
     )
     suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in range(1, labels + 1)]))
     prefixes = F.array_distinct(F.array(*[F.concat(F.substring_index("path", "/", n), F.lit("/")) for n in range(1, parts + 1)]))
