@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import media, mixing, toxicity, url_filter
+from traceloom.llm import line_dedup, media, mixing, near_dedup, neighbours, pieces, pii, toxicity, url_filter
 from traceloom.llm.common import table
 
 
@@ -16,10 +16,29 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), ["page_id"]).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.marked(table(spark, sf_dir, "documents"))
+    lines, gone = F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")), F.coalesce(F.size("gone"), F.lit(0))
+    return found.select("row.doc_id", lines.alias("n_lines"), F.greatest(gone, F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
     return plan.selectExpr("row.doc_id", "size", "source_size", "target", "size * copies AS taken")
@@ -32,8 +51,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op5_url_filters": op5_url_filters, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity}
+    return {
+        "op1_media_columns": op1_media_columns,
+        "op2_pii": op2_pii,
+        "op3_pieces": op3_pieces,
+        "op4_near_dedup": op4_near_dedup,
+        "op5_url_filters": op5_url_filters,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_mixing": op7_mixing,
+        "op8_toxicity": op8_toxicity,
+        "op9_neighbours": op9_neighbours,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
