@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import line_dedup, media, mixing, near_dedup, neighbours, pieces, pii, toxicity, url_filter
+from traceloom.llm import line_dedup, media, mixing, near_dedup, neighbours, pieces, pii, repeats, toxicity, url_filter
 from traceloom.llm.common import table
 
 
@@ -55,6 +55,11 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_neighbours": op9_neighbours,
+        "op10_repeats": op10_repeats,
     }
 
 
