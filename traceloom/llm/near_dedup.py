@@ -9,8 +9,10 @@ similarity, computed from the two texts, is ``THRESHOLD`` or more. Classes are c
 
 Candidates of one bucket aren't paired with each other at once. First each is compared with the bucket's
 hub (the member with the most bucket mates overall), which settles nearly all of a group. Then
-only pairs of members that are still in different classes are compared, unless their distances to the hub differ by
-more than ``1 - THRESHOLD``: the distance is a metric, so such a pair has no link. No link is lost.
+only members that are still in different classes meet, unless their distances to the hub differ by
+more than ``1 - THRESHOLD``: the distance is a metric, so such a pair has no link. Before two texts are
+compared, their sketches are: four bits of each of 256 more samples. A pair is passed over if it
+differs in more of them than a linked pair does but once in millions (``DEVIATIONS`` standard deviations).
 
 Cases: null texts count as empty; documents of equal text, empty ones included, share a class; texts of fewer
 than five words are one shingle; other texts without words (white space only) are in a class by themselves; very long texts are
@@ -40,20 +42,26 @@ SLOT_BITS = 18
 #: Draws are looked up by three parts of a shingle's hash, each of so many bits.
 DRAW_BITS = 12
 SEED = 4
+#: Samples of a sketch, each kept to four bits, sixteen to a number.
+SKETCH = 256
+NUMBERS = SKETCH // 16
+DEVIATIONS = 5
+#: Texts up to which the list of candidates is broadcast: 16 bytes each.
+BROADCAST_KEYS = 100_000
 #: Weighted shingle sets that a task keeps while it verifies pairs.
 KEPT_SETS = 64
 
-_draws: list[np.ndarray] = []
+_draws: dict[int, list[np.ndarray]] = {}
 
 
-def draws() -> list[np.ndarray]:
-    """r, 1/r, ln c and beta of improved consistent weighted sampling, each (2**DRAW_BITS, SAMPLES)."""
-    if not _draws:
-        rng = np.random.default_rng(SEED)
-        shape = (1 << DRAW_BITS, SAMPLES)
+def draws(n: int) -> list[np.ndarray]:
+    """r, 1/r, ln c and beta of improved consistent weighted sampling, each (2**DRAW_BITS, n)."""
+    if n not in _draws:
+        rng = np.random.default_rng([SEED, n])
+        shape = (1 << DRAW_BITS, n)
         r = rng.gamma(2.0, size=shape)
-        _draws.extend(x.astype(np.float32) for x in (r, 1 / r, np.log(rng.gamma(2.0, size=shape)), rng.random(shape)))
-    return _draws
+        _draws[n] = [x.astype(np.float32) for x in (r, 1 / r, np.log(rng.gamma(2.0, size=shape)), rng.random(shape))]
+    return _draws[n]
 
 
 def weighted_shingles(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +73,12 @@ def weighted_shingles(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np
     return kinds, weights[first] * count
 
 
-def samples(kinds: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the SAMPLES samples (shingle, level)."""
-    r, inverse, log_c, beta = draws()
+def samples(kinds: np.ndarray, weights: np.ndarray, n: int = SAMPLES) -> np.ndarray:
+    """A 64-bit hash of each of ``n`` samples (shingle, level)."""
+    r, inverse, log_c, beta = draws(n)
     mask = np.uint64((1 << DRAW_BITS) - 1)
-    best = np.full(SAMPLES, np.inf, np.float32)
-    chosen, level = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
+    best = np.full(n, np.inf, np.float32)
+    chosen, level = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     log_w = np.log(weights).astype(np.float32)[:, None]
     for at in range(0, len(kinds), 1024):
         own = kinds[at : at + 1024]
@@ -79,7 +87,7 @@ def samples(kinds: np.ndarray, weights: np.ndarray) -> np.ndarray:
         t = np.floor(log_w[at : at + 1024] * inverse[a] + shift)
         log_a = log_c[b] - r[a] * (t - shift + 1)
         place = log_a.argmin(0)
-        columns = np.arange(SAMPLES)
+        columns = np.arange(n)
         better = log_a[place, columns] < best
         best = np.where(better, log_a[place, columns], best)
         chosen = np.where(better, own[place], chosen)
@@ -97,6 +105,14 @@ def bands(kinds: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return found.view(np.int64)
 
 
+def sketch(kinds: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The low four bits of SKETCH samples, as NUMBERS signed numbers; texts without shingles have zeros."""
+    if not len(kinds):
+        return np.zeros(NUMBERS, np.int64)
+    low = (samples(kinds, weights, SKETCH) & np.uint64(15)).reshape(NUMBERS, 16)
+    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two weighted sets."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -142,13 +158,35 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return stored(rows.mapInPandas(sign, "doc_id long, text_key binary, bands array<long>"), "signatures")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf) -> DataFrame:
-    """(a, b, similarity) of the pairs of text keys (a, b)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    texts = docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(ends, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "candidate-texts")
-    one = texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("text_key").alias("b"), F.col("text").alias("text_b"))
+def candidates(ids: DataFrame, docs: DataFrame, idf) -> DataFrame:
+    """(id, text, sketch) of the texts with these keys, stored."""
+    texts = docs.select(text_key(F.col("text")).alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(small_or_not(ids, BROADCAST_KEYS), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+
+    @F.pandas_udf("array<long>")
+    def drawn(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch(*weighted_shingles(t, idf.value)) for t in texts], dtype=object)
+
+    return stored(texts.select("id", "text", drawn("text").alias("sketch")), "candidate-texts")
+
+
+def plausible(x: str, y: str, threshold: float) -> Column:
+    """Whether two sketches differ in no more samples than a pair of similarity ``threshold`` may."""
+    same = threshold + (1 - threshold) / 16
+    most = SKETCH * (1 - same) + DEVIATIONS * (SKETCH * same * (1 - same)) ** 0.5
+    differ = F.lit(0)
+    for i in range(NUMBERS):
+        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= most
+
+
+def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(a, b, similarity) of the pairs of text keys (a, b), stored."""
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
@@ -169,26 +207,31 @@ def verified(pairs: DataFrame, docs: DataFrame, idf) -> DataFrame:
 
 def links(signed: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
     """(id, root) of the text keys that a verified link joins to another text."""
-    texts = signed.dropDuplicates(["text_key"]).select(F.col("text_key").alias("id"), F.explode("bands").alias("bucket"))
-    sizes = texts.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
-    members = stored(texts.join(sizes, "bucket"), "bucket-members")
+    signs = signed.dropDuplicates(["text_key"]).select(F.col("text_key").alias("id"), F.explode("bands").alias("bucket"))
+    sizes = signs.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
+    members = stored(signs.join(sizes, "bucket"), "bucket-members")
     central = members.groupBy("id").agg(F.sum("mates").alias("central"))
     hubs = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("central", "id"))["id"].alias("hub"))
     members = stored(members.join(hubs, "bucket").select("bucket", "id", "hub"), "bucket-hubs")
-    starred = verified(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), docs, idf)
-    linked = starred.where(F.col("similarity") >= threshold).select("a", "b")
+    texts = candidates(members.select("id").distinct(), docs, idf)
+    drawn = texts.select("id", "sketch")
+    star = members.where("id != hub").select("hub", "id").distinct().join(drawn, "id").join(drawn.toDF("hub", "hub_sketch"), "hub")
+    star = verified(star.where(plausible("sketch", "hub_sketch", threshold)).select(F.col("hub").alias("a"), F.col("id").alias("b")), texts, idf)
+    linked = star.where(F.col("similarity") >= threshold).select("a", "b")
     roots = components(linked)
     known = members.join(roots, "id", "left").select("bucket", "id", "hub", F.coalesce("root", "id").alias("root"))
     mixed = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
-    far = starred.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far"))
-    left = known.join(mixed, "bucket").join(far, ["hub", "id"], "left").select("bucket", "id", "root", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("id") == F.col("hub")).alias("is_hub"))
-    left = stored(left, "unsettled").where("NOT is_hub")
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9)
-    rest = stored(x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "unsettled-pairs")
+    far = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far"))
+    left = known.where("id != hub").join(mixed, "bucket").join(far, ["hub", "id"], "left").join(drawn, "id")
+    left = stored(left.select("bucket", "id", "root", "far", "sketch"), "unsettled")
+    x = left.toDF("bucket", "id_x", "root_x", "far_x", "sketch_x")
+    y = left.toDF("bucket", "id_y", "root_y", "far_y", "sketch_y")
+    near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
+    rest = x.join(y, ["bucket"]).where((F.col("root_x") < F.col("root_y")) & near & plausible("sketch_x", "sketch_y", threshold))
+    rest = stored(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct(), "unsettled-pairs")
     if rest.isEmpty():
         return roots
-    more = verified(rest, docs, idf).where(F.col("similarity") >= threshold).select("a", "b")
+    more = verified(rest, texts, idf).where(F.col("similarity") >= threshold).select("a", "b")
     return components(linked.union(more))
 
 

@@ -13,7 +13,7 @@ units of more than ``LONG`` symbols go through a heap, one by one.
 
 Cases: null and empty texts have no pieces and decode to an empty text; very long texts and units are encoded
 whole; a null ``doc_id`` keys the hash as empty text; repeated rows get equal pieces; an empty table gives an empty result;
-other columns are kept by ``encode`` and ``decode``, which replace a column of the name that they add.
+other columns never reach Python, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -260,35 +260,27 @@ def _in_groups(batch: pd.DataFrame, seed: int) -> Iterator[tuple[list[str], list
         yield texts, keys
 
 
-def encode(docs: DataFrame, keep: list[str], model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``ids``, the pieces of ``text``."""
+def encode(text: Column, doc_id: Column, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> Column:
+    """The piece ids of ``text``; only the two columns go to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def of(texts: pd.Series, keys: pd.Series) -> pd.Series:
         pieces = loaded(model)
-        for batch in batches:
-            at = 0
-            for texts, keys in _in_groups(batch, seed):
-                rows = batch.iloc[at : at + len(texts)]
-                at += len(texts)
-                yield rows[keep].assign(ids=encode_texts(pieces, texts, keys, dropout))
+        batch = pd.DataFrame({"text": texts, "key": keys})
+        return pd.Series([ids for group in _in_groups(batch, seed) for ids in encode_texts(pieces, *group, dropout)], dtype=object)
 
-    keep = [c for c in keep if c != "ids"]
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["ids array<int>"])
-    key = F.col("doc_id").cast("string").alias("key")
-    return docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]), key).mapInPandas(run, fields)
+    return of(text.cast("string"), doc_id.cast("string"))
 
 
-def decode(rows: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
-    """The columns ``keep`` of ``rows`` with ``text``, decoded from ``ids``."""
+def decode(ids: Column, model: str = MODEL) -> Column:
+    """The text that ``ids`` were made of; empty for null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def of(lists: pd.Series) -> pd.Series:
         pieces = loaded(model)
-        for batch in batches:
-            yield batch[keep].assign(text=["" if x is None else decode_ids(pieces, x) for x in batch["ids"]])
+        return pd.Series(["" if x is None else decode_ids(pieces, x) for x in lists], dtype=object)
 
-    keep = [c for c in keep if c != "text"]
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + ["text string"])
-    return rows.select(*dict.fromkeys([*keep, "ids"])).mapInPandas(run, fields)
+    return of(ids)
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
