@@ -6,7 +6,9 @@ sees more than a bounded part:
 1. Each window has an anchor: the leftmost least hash of its 64-byte grams. Equal windows have
    equal anchors, so windows whose anchor occurs once can't repeat and are dropped.
 2. Neighbouring windows of one anchor are one context, a string of ``WINDOW`` bytes or more. Contexts of
-   equal bytes are counted once, with their number, and contexts are dealt out by anchor into parts.
+   equal bytes are counted once, with their number, and contexts are dealt out by anchor into parts. Where all
+   occurrences of an anchor have one context, it is one string that occurs as often: all its windows repeat, and
+   it takes no further part.
 3. In a part, the contexts of each source shard are suffix-sorted over symbols of ``BLOCK`` bytes, which gives the
    shard's Burrows-Wheeler transform. The transforms are merged by interleave refinement: in each
    round, the interleave is dealt stably by the symbols that precede its entries, and a block boundary is set where
@@ -43,8 +45,8 @@ BLOCK = 100
 #: Shards whose transforms are merged in one part.
 SHARDS = 8
 #: Bytes of contexts in a part, and different contexts of an anchor up to which it goes to one.
-PART_BYTES = 2_000_000
-HOT = 3000
+PART_BYTES = 600_000
+HOT = 1000
 #: Context digests that a task remembers, to hand over the bytes of each only once.
 REMEMBERED = 400_000
 #: Bytes that are hashed at once.
@@ -195,7 +197,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 
 
 def contexts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(own, mark, cid, anchor, starts, shard, raw) of each document's different contexts, stored; raw is null where the task gave it before."""
+    """(own, mark, cid, anchor, starts, windows, shard, raw) of each document's different contexts, stored; raw is null where the task gave it before."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = TaskContext.get().partitionId() if TaskContext.get() else 0
@@ -214,15 +216,21 @@ def contexts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
                     if cid in found:
                         found[cid][4].append(a)
                     else:
-                        found[cid] = [own, mark, cid, int(hashes[i]), [a], shard, None if cid in given else body]
+                        found[cid] = [own, mark, cid, int(hashes[i]), [a], len(body) - WINDOW + 1, shard, None if cid in given else body]
                         if len(given) >= REMEMBERED:
                             given.clear()
                         given.add(cid)
                 rows += found.values()
-            yield pd.DataFrame(rows, columns=["own", "mark", "cid", "anchor", "starts", "shard", "raw"])
+            yield pd.DataFrame(rows, columns=["own", "mark", "cid", "anchor", "starts", "windows", "shard", "raw"])
 
     rows = docs.select(*KEY, "text").join(_sent(known, "anchors"), KEY)
-    return stored(rows.mapInPandas(cut, "own long, mark long, cid binary, anchor long, starts array<long>, shard int, raw binary"), "contexts")
+    return stored(rows.mapInPandas(cut, "own long, mark long, cid binary, anchor long, starts array<long>, windows long, shard int, raw binary"), "contexts")
+
+
+def kinds_of(contexts: DataFrame) -> DataFrame:
+    """(cid, raw, anchor, shard, times) of the different contexts, stored."""
+    found = contexts.groupBy("cid").agg(F.max("raw").alias("raw"), F.min("anchor").alias("anchor"), F.min("shard").alias("shard"), F.sum(F.size("starts")).alias("times"))
+    return stored(found, "context-kinds")
 
 
 def repeated_in_parts(contexts: DataFrame) -> DataFrame:
@@ -261,16 +269,19 @@ def repeated_in_hot(contexts: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """(own, mark, spans) of the documents that hold a repeated string, stored: first byte and end of each, in turn and overlapping."""
     contexts = contexts_of(docs, repeated_anchors(docs))
-    kinds = contexts.groupBy("cid").agg(F.max("raw").alias("raw"), F.min("anchor").alias("anchor"), F.min("shard").alias("shard"), F.sum(F.size("starts")).alias("times"))
-    kinds = stored(kinds, "context-kinds")
-    hot = small_or_not(stored(kinds.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot-anchors"))
-    found = repeated_in_parts(kinds.join(hot, "anchor", "left_anti"))
+    shared = contexts.groupBy("anchor").agg(F.count_distinct("cid").alias("kinds")).where("kinds > 1")
+    shared = stored(shared, "shared-anchors")
+    listed = lambda rows: small_or_not(rows.select("anchor"), BROADCAST_DOCS)
+    found = repeated_in_parts(kinds_of(contexts.join(listed(shared.where(F.col("kinds") <= HOT)), "anchor", "left_semi")))
+    hot = shared.where(F.col("kinds") > HOT)
     if not hot.isEmpty():
-        found = found.unionByName(repeated_in_hot(kinds.join(hot, "anchor", "left_semi")))
+        found = found.unionByName(repeated_in_hot(kinds_of(contexts.join(listed(hot), "anchor", "left_semi"))))
     found = stored(found.where(F.size("runs") > 0), "runs")
-    placed = contexts.select(*KEY, "cid", "starts").join(found, "cid")
+    placed = contexts.select(*KEY, "anchor", "cid", "starts", "windows")
     shifted = F.flatten(F.transform("starts", lambda a: F.transform("runs", lambda r, i: a + r + F.when(i % 2 == 1, F.lit(WINDOW)).otherwise(0))))
-    return stored(placed.groupBy(*KEY).agg(F.flatten(F.collect_list(shifted)).alias("spans")), "covered")
+    whole = F.flatten(F.transform("starts", lambda a: F.array(a, a + F.col("windows") - 1 + WINDOW)))
+    spans = placed.join(found, "cid").select(*KEY, shifted.alias("spans")).unionByName(placed.join(listed(shared), "anchor", "left_anti").select(*KEY, whole.alias("spans")))
+    return stored(spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "covered")
 
 
 def united(spans) -> list[tuple[int, int]]:
