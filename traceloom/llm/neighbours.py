@@ -28,15 +28,15 @@ from pyspark.sql.window import Window
 
 from traceloom.llm.common import stored
 
-PROJECTIONS = 48
+PROJECTIONS = 16
 SEED = 11
-START = 0.05
+START = 0.4
 GROWTH = 1.35
 #: Share of the directions in whose windows a vector must be to be verified.
-SHARE = 0.75
+SHARE = 0.6875
 #: A vector at distance d is within d * REACH of the query in SHARE of the directions, all but rarely.
 REACH = 1.45
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8_192
 QUERY_ROWS = 512
 FOUND = "query_id long, vec_id long, score double"
 
@@ -57,47 +57,50 @@ def _cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * query).sum(1) / (np.sqrt((query * query).sum()) * np.sqrt((rows * rows).sum(1)))
 
 
-def _added(lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place in the sorted array) for places lo..hi-1 of each query."""
-    size = hi - lo
-    query = np.repeat(np.arange(len(lo)), size)
-    return query, np.arange(len(query)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """The k nearest found in a block for each query."""
-    directions = _directions(rows.shape[1])
-    scaled = lambda x: (x / np.abs(x).max(1, keepdims=True)) / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True)
-    own, asked = scaled(rows) @ directions, scaled(queries) @ directions
-    order = np.argsort(own, axis=0, kind="stable")
-    arrays = np.take_along_axis(own, order, 0)
-    n, least = len(rows), int(np.ceil(SHARE * PROJECTIONS))
-    counts = np.zeros((len(queries), n), np.uint8)
-    lo = np.stack([np.searchsorted(arrays[:, j], asked[:, j]) for j in range(PROJECTIONS)], 1)
-    hi, verified = lo.copy(), np.zeros(counts.shape, bool)
+    n, dim = rows.shape
+    unit, asked = _scaled(rows), _scaled(queries)
+    own, places = unit @ _directions(dim), asked @ _directions(dim)
+    order = [np.argsort(own[:, j], kind="stable") for j in range(PROJECTIONS)]
+    arrays = [own[o, j] for j, o in enumerate(order)]
+    least = int(np.ceil(SHARE * PROJECTIONS))
+    counts, verified = np.zeros((len(queries), n), np.uint8), np.zeros((len(queries), n), bool)
+    lo = np.stack([np.searchsorted(a, places[:, j]) for j, a in enumerate(arrays)], 1)
+    hi = lo.copy()
     best: list[list[tuple[float, int]]] = [[] for _ in queries]
-    open_, half = np.arange(len(queries)), START / np.sqrt(rows.shape[1])
-    while len(open_):
-        for j in range(PROJECTIONS):
-            low = np.searchsorted(arrays[:, j], asked[open_, j] - half, "left")
-            high = np.searchsorted(arrays[:, j], asked[open_, j] + half, "right")
-            for a, b in ((low, lo[open_, j]), (hi[open_, j], high)):
-                q, place = _added(a, np.maximum(a, b), n)
-                counts[open_[q], order[place, j]] += 1
-            lo[open_, j], hi[open_, j] = np.minimum(low, lo[open_, j]), np.maximum(high, hi[open_, j])
-        whole = ((hi[open_] - lo[open_]) == n).all(1)
+    waiting, half = np.arange(len(queries)), START / np.sqrt(dim)
+    while len(waiting):
+        low = np.stack([np.searchsorted(a, places[waiting, j] - half, "left") for j, a in enumerate(arrays)], 1)
+        high = np.stack([np.searchsorted(a, places[waiting, j] + half, "right") for j, a in enumerate(arrays)], 1)
+        low, high = np.minimum(low, lo[waiting]), np.maximum(high, hi[waiting])
         left = []
-        for q, ended in zip(open_, whole, strict=True):
-            new = np.flatnonzero((counts[q] >= least) & ~verified[q])
+        for i, q in enumerate(waiting.tolist()):
+            own_counts = counts[q]
+            for j, o in enumerate(order):
+                own_counts[o[low[i, j] : lo[q, j]]] += 1
+                own_counts[o[hi[q, j] : high[i, j]]] += 1
+            new = np.flatnonzero((own_counts >= least) & ~verified[q])
             verified[q, new] = True
             new = new[ids[new] != query_ids[q]]
             if len(new):
+                near = unit[new] @ asked[q]
+                if len(new) > k:
+                    near_enough = near >= np.partition(near, -k)[-k] - 1e-9
+                    new = new[near_enough]
                 pairs = best[q] + list(zip((-_cosines(queries[q], rows[new])).tolist(), ids[new].tolist(), strict=True))
                 best[q] = sorted(pairs)[:k]
             far = np.sqrt(max(0.0, 2 + 2 * best[q][-1][0])) if len(best[q]) == k else np.inf
-            if not ended and half * np.sqrt(rows.shape[1]) < far * REACH:
+            whole = ((high[i] - low[i]) == n).all()
+            if not whole and half * np.sqrt(dim) < far * REACH:
                 left.append(q)
-        open_, half = np.array(left, int), half * GROWTH
+        lo[waiting], hi[waiting] = low, high
+        waiting, half = np.array(left, int), half * GROWTH
     return [(int(query_ids[q]), i, -s) for q, found in enumerate(best) for s, i in found]
 
 
