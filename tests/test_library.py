@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from traceloom.functions import scalars as s
-from traceloom.operators import incremental, mapping, read, reconcile, rollup
+from traceloom.operators import incremental, mapping, read, reconcile, rollup, runs
 from traceloom.plans import views as v
 from traceloom.plans.filters import Filter, bounded_predicate, lookup_predicate, predicate
 from traceloom.sources import html, sinks
@@ -154,3 +154,11 @@ def test_filters_reach_the_scan(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/r").where(predicate(v.REPAIRS, Filter({"sn": "P1,P2"}))).select("repair_id")
     plan = rows._jdf.queryExecution().toString()
     assert "In(PCODE" in plan.split("PushedFilters")[1] and "other" not in plan.split("ReadSchema")[-1]
+
+
+def test_rows_out_of_the_window_fail_the_run(spark):
+    rows = spark.createDataFrame([("a", "2026-01-02"), ("b", "2026-02-30")], "k string, d string")
+    day = s.parse_date("d")
+    assert runs.require_in_window(rows.where("k = 'a'"), day, "2026-01-01", "2026-01-31").count() == 1
+    with pytest.raises(Exception, match="out of the window"):
+        runs.require_in_window(rows, day, "2026-01-01", "2026-01-31").collect()

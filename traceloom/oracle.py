@@ -46,6 +46,7 @@ DATASETS = {
     "pair_b": """SELECT PCODE AS key, min({'p': AUFNR, 's': VBELN}) AS pair FROM repairs WHERE coalesce(AUFNR, '') != '' AND coalesce(VBELN, '') != '' GROUP BY 1 HAVING count(DISTINCT AUFNR || '|' || VBELN) = 1""",
     "stepped": """SELECT repair_id, coalesce(AUFNR, '') AS a, coalesce(VBELN, '') AS b, GSTRS AS g, CASE WHEN (a = '' OR b = '') AND pa.key IS NOT NULL AND (a = '' OR nz(a) = nz(pa.pair.p)) THEN 'stations' WHEN (a = '' OR b = '') AND pb.key IS NOT NULL AND (a = '' OR nz(a) = nz(pb.pair.p)) THEN 'repairs' ELSE '' END AS step, pa.pair AS x, pb.pair AS y FROM repairs r LEFT JOIN pair_a pa ON r.PCODE = pa.key LEFT JOIN pair_b pb ON r.PCODE = pb.key""",
     "chained": """SELECT repair_id, step, g, CASE WHEN a != '' THEN a WHEN step = 'stations' THEN x.p WHEN step = 'repairs' THEN y.p ELSE '' END AS a, CASE WHEN b != '' THEN b WHEN step = 'stations' THEN x.s WHEN step = 'repairs' THEN y.s ELSE '' END AS b FROM stepped""",
+    "runs": """SELECT user_id || '-' || strftime(ts, '%Y-%m-%d %H') AS run_id, strftime(ts, '%Y-%m-%d %H') AS started, user_id, event_id, event_type AS task, CASE WHEN value > 12 THEN 'failed' ELSE 'success' END AS state, ts FROM events""",
 }
 
 QUERIES = {
@@ -114,6 +115,14 @@ QUERIES = {
     "rolling_window_bounds": "SELECT strftime(g, '%Y-%m-%d') AS last, strftime(f, '%Y-%m-%d') AS first, f = date_trunc('month', f) AND g = last_day(f) AS is_month FROM (SELECT DISTINCT gstrs_date AS g, greatest(CAST(date_trunc('month', gstrs_date) - INTERVAL 2 MONTH AS DATE), DATE '1995-06-01') AS f FROM ords)",
     "business_key_hash": """SELECT repair_id, sha256('["' || PCODE || '","' || coalesce(AUFNR, '') || '","' || ZMCOD1 || '"]') AS business_key, sha256(PCODE || chr(31) || coalesce(VBELN, '') || chr(31) || MATNR) AS change_key FROM repairs""",
     "vendor_suffix_lookup": "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS vendor FROM lineitem WHERE l_partkey % 1000 = 77 AND l_suppkey % 10 != 0",
+    "runs_last": "SELECT run_id, started, count(*) AS n FROM runs GROUP BY 1, 2 ORDER BY started DESC, run_id DESC LIMIT 15",
+    "runs_latest_stage": "SELECT run_id, started, task, state FROM runs WHERE task = 'error' AND state = 'failed' ORDER BY started DESC, run_id DESC, event_id LIMIT 1",
+    "runs_last_success": "SELECT t.task, max(r.started) AS last_success FROM (VALUES ('error'), ('click'), ('view'), ('none')) t(task) LEFT JOIN runs r ON r.task = t.task AND r.state = 'success' GROUP BY 1",
+    "runs_abandoned": "SELECT run_id FROM runs WHERE user_id % 5 = 0 GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-10 00:00:00'",
+    "comparison_report": "SELECT count(*) FILTER (action = 'insert') AS missing, count(*) FILTER (action = 'stale') AS extra, count(*) FILTER (action = 'update') AS field_mismatch, CASE WHEN count(*) FILTER (action != 'unchanged') = 0 THEN 'success' ELSE 'warning' END AS state FROM classes",
+    "stale_in_scope": "SELECT order_id, KID FROM kept WHERE KID IN ('K1', 'K2', 'K3', 'K4') AND order_id NOT IN (SELECT order_id FROM snap)",
+    "events_in_window": "SELECT HISTROYID, GSTRS FROM stations",
+    "postings_version_round_trip": "SELECT posting_id, 'M' || split_part(posting_id, '-', 3) AS MATNR, AUART FROM postings WHERE AUART = 'ZP02'",
     "stream_available_now": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS passes, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions import scalars as s
-from traceloom.operators import incremental, mapping, read, reconcile, rollup, stats
+from traceloom.operators import incremental, mapping, read, reconcile, rollup, runs, stats
 from traceloom.plans import views as v
 from traceloom.plans.filters import Filter, predicate
 from traceloom.sources import html, roles, sinks
@@ -385,6 +385,61 @@ def vendor_suffix_lookup(spark, d):
     return read.vendors(rows, "00000077", "MATNR", "vendor")
 
 
+def _runs(spark, d):
+    """A run log: one run of each user's events in an hour, with a stage for each event."""
+    stage = F.struct(F.col("event_id"), F.col("event_type").alias("task"), F.expr("CASE WHEN value > 12 THEN 'failed' ELSE 'success' END").alias("state"))
+    rows = roles.table(spark, d, "events").withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
+    found = rows.groupBy("user_id", "hour").agg(F.sort_array(F.collect_list(stage)).alias("stages"), F.max("ts").alias("heartbeat"))
+    return found.select(F.concat_ws("-", "user_id", "hour").alias("run_id"), F.col("hour").alias("started"), "stages", "heartbeat", F.when(F.col("user_id") % 5 == 0, "running").otherwise("done").alias("state"))
+
+
+@query
+def runs_last(spark, d):
+    return runs.last_runs(_runs(spark, d), 15).select("run_id", "started", F.size("stages").cast("long").alias("n"))
+
+
+@query
+def runs_latest_stage(spark, d):
+    return runs.latest_stage(_runs(spark, d), "error", "failed")
+
+
+@query
+def runs_last_success(spark, d):
+    tasks = spark.createDataFrame([("error",), ("click",), ("view",), ("none",)], "task string")
+    return runs.last_success(_runs(spark, d), tasks)
+
+
+@query
+def runs_abandoned(spark, d):
+    return runs.abandoned(_runs(spark, d), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 10 * 24 * 60).select("run_id")
+
+
+@query
+def comparison_report(spark, d):
+    return runs.comparison_report(reconcile.differences(*_halves(spark, d), ["order_id"], ["VBELN", "KID"]))
+
+
+@query
+def stale_in_scope(spark, d):
+    snapshot, stored = _halves(spark, d)
+    return runs.stale_in_scope(stored, snapshot, ["order_id"], F.col("KID").isin("K1", "K2", "K3", "K4")).select("order_id", "KID")
+
+
+@query
+def events_in_window(spark, d):
+    rows = roles.stations(spark, d)
+    return runs.require_in_window(rows, F.col("gstrs_date"), "2020-01-01", "2030-01-01").select("HISTROYID", "GSTRS")
+
+
+@query
+def postings_version_round_trip(spark, d):
+    root = _shared(spark)
+    rows = roles.postings(spark, d).select("posting_id", "MATNR", "AUART")
+    sinks.write_version(rows.where("AUART = 'ZP01'"), root, 1)
+    sinks.write_version(rows.where("AUART = 'ZP02'"), root, 2)
+    return sinks.read_latest(spark, root)
+
+
 @query
 def html_extract(spark, d):
     return roles.table(spark, d, "pages").select("page_id", html.title_and_links("html").alias("t")).select("page_id", "t.title", F.col("t.links").cast("long").alias("links"))
