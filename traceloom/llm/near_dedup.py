@@ -12,7 +12,7 @@ hub (the member with the most bucket mates overall), which settles nearly all of
 only members that are still in different classes meet, unless their distances to the hub differ by
 more than ``1 - THRESHOLD``: the distance is a metric, so such a pair has no link. Before two texts are
 compared, their sketches are: four bits of each of 256 more samples. A pair is passed over if it
-differs in more of them than a linked pair does but once in millions (``DEVIATIONS`` standard deviations).
+differs in more of them than a linked pair does but once in some 30,000 times (``DEVIATIONS`` standard deviations).
 
 Cases: null texts count as empty; documents of equal text, empty ones included, share a class; texts of fewer
 than five words are one shingle; other texts without words (white space only) are in a class by themselves; very long texts are
@@ -45,7 +45,7 @@ SEED = 4
 #: Samples of a sketch, each kept to four bits, sixteen to a number.
 SKETCH = 256
 NUMBERS = SKETCH // 16
-DEVIATIONS = 5
+DEVIATIONS = 4
 #: Texts up to which the list of candidates is broadcast: 16 bytes each.
 BROADCAST_KEYS = 100_000
 #: Weighted shingle sets that a task keeps while it verifies pairs.
@@ -223,11 +223,14 @@ def links(signed: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD)
     mixed = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
     far = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far"))
     left = known.where("id != hub").join(mixed, "bucket").join(far, ["hub", "id"], "left").join(drawn, "id")
-    left = stored(left.select("bucket", "id", "root", "far", "sketch"), "unsettled")
-    x = left.toDF("bucket", "id_x", "root_x", "far_x", "sketch_x")
-    y = left.toDF("bucket", "id_y", "root_y", "far_y", "sketch_y")
+    buckets = members.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    left = stored(left.join(buckets, "id").select("bucket", "id", "root", "far", "sketch", "buckets"), "unsettled")
+    x = left.toDF("bucket", "id_x", "root_x", "far_x", "sketch_x", "buckets_x")
+    y = left.toDF("bucket", "id_y", "root_y", "far_y", "sketch_y", "buckets_y")
     near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - threshold + 1e-9, F.lit(True))
-    rest = x.join(y, ["bucket"]).where((F.col("root_x") < F.col("root_y")) & near & plausible("sketch_x", "sketch_y", threshold))
+    # a pair that shares several buckets is made in the least of them only
+    once = F.col("bucket") == F.array_min(F.array_intersect("buckets_x", "buckets_y"))
+    rest = x.join(y, ["bucket"]).where((F.col("root_x") < F.col("root_y")) & near & plausible("sketch_x", "sketch_y", threshold) & once)
     rest = stored(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct(), "unsettled-pairs")
     if rest.isEmpty():
         return roots
