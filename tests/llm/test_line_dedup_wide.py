@@ -1,0 +1,57 @@
+"""Fuzzy line dedup against edit similarity alone, over all pairs of lines."""
+
+import random
+from itertools import combinations
+
+from tests.llm.test_line_dedup import distance, normal
+from traceloom.llm import line_dedup as ld
+
+
+def corpus():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=rng.randint(2, 7)))
+    rows = []
+    for n in [2, 3, 4, 6, 8, 12, 12, 28, 40] * 2:
+        words = [word() for _ in range(n)]
+        rows.append(" ".join(words))
+        for _ in range(2):
+            other = list(words)
+            at = rng.randrange(n)
+            other[at] = other[at][:-1] + "z" if n < 8 else word()
+            rows.append(" ".join(other))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def brute(rows):
+    root = {normal(t): normal(t) for _, t in rows}
+    for a, b in combinations(sorted(root), 2):
+        most = int((1 - ld.SIMILARITY) * max(len(a), len(b)) + 1e-9)
+        if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+            x, y = root[a], root[b]
+            root = {k: (x if v == y else v) for k, v in root.items()}
+    seen, kept = set(), {}
+    for d, t in rows:
+        kept[d] = "" if root[normal(t)] in seen else t
+        seen.add(root[normal(t)])
+    return kept
+
+
+def test_edit_similarity_alone_decides(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute(rows)
+    assert {r.doc_id: r.text for r in ld.dedup_lines(docs, wide=True).collect()} == wanted
+    assert sum(t == "" for t in wanted.values()) > 20
+
+
+def test_halves_meet_for_every_single_edit(spark):
+    pairs = []
+    for n in range(10, 20):
+        line = "abcdefghijklmnopqrs"[:n]
+        pairs += [(line, line[:i] + "z" + line[i + 1 :]) for i in range(n)]
+        pairs += [(line, line[:i] + line[i + 1 :]) for i in range(n)]
+    found = spark.createDataFrame(pairs, "a string, b string")
+    a, b = (found.selectExpr("a", "b", f"{c} AS normal", f"length({c}) AS size").select("a", "b", ld.sample_keys().alias(f"k{c}")) for c in "ab")
+    fits = "length(b) >= 10"
+    assert a.join(b, ["a", "b"]).where(f"{fits} AND NOT arrays_overlap(ka, kb)").count() == 0
