@@ -55,3 +55,8 @@ def test_halves_meet_for_every_single_edit(spark):
     a, b = (found.selectExpr("a", "b", f"{c} AS normal", f"length({c}) AS size").select("a", "b", ld.sample_keys().alias(f"k{c}")) for c in "ab")
     fits = "length(b) >= 10"
     assert a.join(b, ["a", "b"]).where(f"{fits} AND NOT arrays_overlap(ka, kb)").count() == 0
+
+
+def test_short_words_are_features(spark):
+    docs = spark.createDataFrame([(1, "ab cd ef gh\nab xy zw uv\n12 3 456\n12 34 5")], "doc_id long, text string")
+    assert len({r.simhash for r in ld.line_rows(docs).collect()}) == 4
