@@ -6,6 +6,8 @@ mark) on its line, is a pattern. Patterns and the identifiers that they precede,
 graph, which Spark scores in rounds: a pattern's confidence in a kind is the share of its
 different identifiers that are known as that kind, and an unknown identifier is as sure as its
 confident patterns together make it. Identifiers that pass ``SURE`` are reported wherever they occur.
+Patterns without a seed stay in the graph: identifiers found in one round can make them sure in a later one. Rounds end
+when none raises an identifier's score to a new hundredth.
 
 An identifier counts once for a pattern however many documents repeat it, so copies don't make a
 pattern sure. The graph holds a digest in place of an identifier's text.
@@ -46,7 +48,6 @@ LENGTHS = (2, 3)
 LEAST = 3
 CONFIDENT = 0.6
 SURE = 0.8
-ROUNDS = 3
 CANDIDATE = "struct<start:long,end:long,kind:string,instance:long,patterns:array<string>>"
 ROW = f"rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:long,place:int,end:long>>, candidates array<{CANDIDATE}>"
 
@@ -134,17 +135,24 @@ def sure_instances(found: DataFrame) -> DataFrame:
     """(instance, kind) of what is known or becomes sure, by rounds over the pattern-instance graph."""
     every = found.groupBy("instance").agg(F.max("kind").alias("kind"))
     edges = found.select("instance", F.explode("patterns").alias("pattern")).distinct().join(every, "instance")
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"), F.count("kind").alias("known"))
-    edges = stored(edges.join(degree.where((F.col("degree") >= LEAST) & (F.col("known") > 0)).drop("known"), "pattern"), "pii-graph")
+    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
+    edges = stored(edges.join(degree.where(F.col("degree") >= LEAST), "pattern"), "pii-graph")
     seeds = every.where("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("score"))
     scores = stored(seeds, "pii-seeds")
-    for _ in range(ROUNDS):
+    tops = seeds.limit(0).select("instance", "kind", F.lit(0).alias("top"))
+    while True:
         trust = (
             edges.select("pattern", "degree", "instance").join(scores, "instance").groupBy("pattern", "kind").agg((F.sum("score") / (F.max("degree") + 1)).alias("trust")).where(F.col("trust") >= CONFIDENT)
         )
         guessed = edges.where("kind IS NULL").select("instance", "pattern").join(trust, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
         best = guessed.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("best")).select("instance", "best.kind", "best.score")
-        scores = stored(seeds.unionByName(best), "pii-scores")
+        best = stored(best, "pii-best")
+        scores = seeds.unionByName(best)
+        # a score's highest hundredth only grows, so the rounds end even if kinds take turns
+        raised = best.select("instance", "kind", F.floor(F.col("score") * 100).cast("int").alias("top")).join(tops.withColumnRenamed("top", "old"), ["instance", "kind"], "left").where("top > coalesce(old, -1)")
+        if raised.isEmpty():
+            break
+        tops = stored(tops.unionByName(raised.select("instance", "kind", "top")).groupBy("instance", "kind").agg(F.max("top").alias("top")), "pii-tops")
     return scores.where(F.col("score") >= SURE).select("instance", "kind")
 
 
