@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,14 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none (a local test), a temporary one is set.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="traceloom-")
-        spark.sparkContext.setCheckpointDir(where)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return where.rstrip("/")
 
 
@@ -32,13 +27,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back: cuts the lineage durably."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``result``, which reads none of the stored ``tables``; their files are deleted."""
+    spark = result.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+    for folder in {name.rsplit("/", 1)[0] for t in tables for name in t.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.toUri().getPath().startswith(root + "/"):
+            raise ValueError(f"{folder} is not in the shared folder")
+        path.getFileSystem(conf).delete(path, True)
+    return result
+
+
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -34,9 +34,9 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.marked(table(spark, sf_dir, "documents"), wide=True)
-    lines, gone = F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")), F.coalesce(F.size("gone"), F.lit(0))
-    return found.select("row.doc_id", lines.alias("n_lines"), F.greatest(gone, F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    found = line_dedup.marked(table(spark, sf_dir, "documents"))
+    lines = F.size(F.split(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "\n"))
+    return found.select("row.doc_id", lines.cast("long").alias("n_lines"), F.col("n_gone").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
