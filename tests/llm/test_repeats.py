@@ -48,9 +48,10 @@ def corpus():
     return [*rows, rows[0], rows[0], None, "", "short", "ab" * 600, "z" * 900, shared[3]]
 
 
-@pytest.mark.parametrize("hot", [3000, 2])
-def test_removed_bytes(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,finer", [(3000, (256, 384)), (2, (256, 384)), (1, ())])
+def test_removed_bytes(spark, monkeypatch, hot, finer):
     monkeypatch.setattr(r, "HOT", hot)
+    monkeypatch.setattr(r.repeated, "__defaults__", (finer,))
     texts = corpus()
     raws = [(t or "").encode() for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
@@ -66,3 +67,14 @@ def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "x" * 500), (None, "y" * 10)], "doc_id long, text string")
     assert sorted((x.n_bytes, x.n_removed) for x in r.remove_repeats(docs).collect()) == [(10, 0), (500, 500)]
     assert r.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_hot_passage_with_more_contexts_than_a_part_takes(spark):
+    """A passage in more than HOT documents with different neighbours, some of which agree for a few bytes, against brute force."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("ab", k=n))
+    shared = "".join(rng.choices("abcdefgh ", k=430))
+    texts = [text(60) + shared[rng.choice([0, 0, 0, 20, 45]) :] + text(60) for _ in range(r.HOT + 150)]
+    found = {x.doc_id: x for x in r.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    for i, (t, mask) in enumerate(zip(texts, brute([t.encode() for t in texts], r.WINDOW))):
+        assert bytes(found[i].kept) == bytes(np.frombuffer(t.encode(), np.uint8)[~mask]), i

@@ -17,12 +17,14 @@ sees more than a bounded part:
    are sorted within shards only, and never again.
 4. Intervals go back to the documents, which drop the bytes they cover.
 
-An anchor with more than ``HOT`` different contexts (a short passage in very many documents) would make
-a part unbounded; the windows of its contexts are counted one by one, pre-aggregated, in place of step 3.
+Where more than ``HOT`` different contexts share an anchor (a passage in very many documents), its contexts are dealt out again
+by anchors of longer grams (``FINER``), which leave shorter contexts and fewer of one anchor: those that occur once drop out, and the others
+go through the transforms as before. What shares even the longest gram with so many differs within a few bytes of the passage's ends;
+there, and only there, the few windows of a context are counted one by one, pre-aggregated.
 
 Cases: null and empty texts have no bytes and a text shorter than a window loses none; text is taken as UTF-8;
 windows may overlap themselves; a null ``doc_id`` is kept; repeated rows are occurrences of their own, so their texts
-repeat; very long texts are taken whole; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are not read.
+repeat; very long texts are taken whole (up to 2**28 bytes each); an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import small_or_not, stored
+from traceloom.llm.common import dropped, stored
 from traceloom.llm.shingles import mix, powers
 
 WINDOW = 400
 GRAM = 64
+#: Grams of the anchors that hot contexts are dealt out by, one after the other.
+FINER = (256, 384)
 BLOCK = 100
 #: Shards whose transforms are merged in one part.
 SHARDS = 8
@@ -52,8 +56,6 @@ REMEMBERED = 400_000
 #: Bytes that are hashed at once.
 PIECE = 1 << 18
 PLACE_BITS = 28
-#: Documents, and numbers listed for them, up to which a list is broadcast.
-BROADCAST_DOCS, BROADCAST_NUMBERS = 250_000, 4_000_000
 #: A document's identity: its id (nulls as the largest number) and the hash of its text.
 KEY = ["own", "mark"]
 
@@ -74,12 +76,12 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, last window) of each run of windows with one anchor."""
     if len(raw) < WINDOW:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = gram_hashes(raw, GRAM)
-    n, width = len(hashes), WINDOW - GRAM + 1
+    hashes = gram_hashes(raw, gram)
+    n, width = len(hashes), WINDOW - gram + 1
     placed = (hashes >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(n, dtype=np.uint64)
     rows = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
     rows[:n] = placed
@@ -172,12 +174,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("own"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def _sent(lists: DataFrame, numbers: str) -> DataFrame:
-    """Stored lists by document, with a broadcast hint where both their rows and their numbers are few."""
-    found = lists.agg(F.count("*"), F.sum(F.size(numbers))).first()
-    return F.broadcast(lists) if found[0] <= BROADCAST_DOCS and (found[1] or 0) <= BROADCAST_NUMBERS else lists
-
-
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """(own, mark, anchors): for each document its anchors that occur more than once in the corpus, stored."""
 
@@ -193,7 +189,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 
     rows = stored(docs.select(*KEY, "text").mapInPandas(find, "own long, mark long, anchor long, times long"), "anchors")
     many = rows.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
-    return stored(rows.join(many, "anchor", "left_semi").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
+    return stored(rows.join(many.hint("shuffle_hash"), "anchor", "left_semi").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
 
 
 def contexts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -223,13 +219,13 @@ def contexts_of(docs: DataFrame, known: DataFrame) -> DataFrame:
                 rows += found.values()
             yield pd.DataFrame(rows, columns=["own", "mark", "cid", "anchor", "starts", "windows", "shard", "raw"])
 
-    rows = docs.select(*KEY, "text").join(_sent(known, "anchors"), KEY)
+    rows = docs.select(*KEY, "text").join(known.hint("shuffle_hash"), KEY)
     return stored(rows.mapInPandas(cut, "own long, mark long, cid binary, anchor long, starts array<long>, windows long, shard int, raw binary"), "contexts")
 
 
 def kinds_of(contexts: DataFrame) -> DataFrame:
-    """(cid, raw, anchor, shard, times) of the different contexts, stored."""
-    found = contexts.groupBy("cid").agg(F.max("raw").alias("raw"), F.min("anchor").alias("anchor"), F.min("shard").alias("shard"), F.sum(F.size("starts")).alias("times"))
+    """(cid, raw, anchor, shard, times) of the different contexts, stored; ``contexts`` has ``n`` occurrences a row."""
+    found = contexts.groupBy("cid").agg(F.max("raw").alias("raw"), F.min("anchor").alias("anchor"), F.min("shard").alias("shard"), F.sum("n").alias("times"))
     return stored(found, "context-kinds")
 
 
@@ -246,42 +242,71 @@ def repeated_in_parts(contexts: DataFrame) -> DataFrame:
     return dealt.groupBy("part").applyInPandas(merge, "cid binary, runs array<long>")
 
 
-def repeated_in_hot(contexts: DataFrame) -> DataFrame:
-    """(cid, runs) of the contexts whose anchor has too many: their windows are counted one by one."""
+def repeated_one_by_one(kinds: DataFrame) -> DataFrame:
+    """(cid, runs) of contexts of a few windows each, which are counted one by one."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for cid, times, raw in zip(batch["cid"], batch["times"], batch["raw"], strict=True):
-                raw = bytes(raw)
-                n = len(raw) - WINDOW + 1
-                yield pd.DataFrame({"cid": [cid] * n, "place": np.arange(n), "window": [hashlib.blake2b(raw[i : i + WINDOW], digest_size=16).digest() for i in range(n)], "times": times})
+            rows = [(cid, i, hashlib.blake2b(raw[i : i + WINDOW], digest_size=16).digest(), n) for cid, raw, n in zip(batch["cid"], map(bytes, batch["raw"]), batch["times"], strict=True) for i in range(len(raw) - WINDOW + 1)]
+            yield pd.DataFrame(rows, columns=["cid", "place", "window", "n"])
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"cid": batch["cid"], "runs": [_ranges(np.isin(np.arange(max(p) + 1), p)) for p in batch["places"]]})
 
-    each = stored(contexts.select("cid", "times", "raw").mapInPandas(windows, "cid binary, place long, window binary, times long"), "hot-windows")
-    many = each.groupBy("window").agg(F.sum("times").alias("all")).where("all > 1").select("window")
-    placed = each.join(many, "window", "left_semi").groupBy("cid").agg(F.collect_list("place").alias("places"))
+    each = stored(kinds.select("cid", "times", "raw").mapInPandas(windows, "cid binary, place long, window binary, n long"), "hot-windows")
+    many = each.groupBy("window").agg(F.sum("n").alias("all")).where("all > 1").select("window")
+    placed = each.join(many.hint("shuffle_hash"), "window", "left_semi").groupBy("cid").agg(F.collect_list("place").alias("places"))
     return placed.mapInPandas(runs, "cid binary, runs array<long>")
 
 
+def dealt_again(kinds: DataFrame, gram: int) -> DataFrame:
+    """(owner, at, windows, cid, anchor, shard, n, raw) of what anchors of longer grams make of contexts, stored."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for cid, raw, shard, times in zip(batch["cid"], map(bytes, batch["raw"]), batch["shard"], batch["times"], strict=True):
+                for anchor, a, z in zip(*anchors(np.frombuffer(raw, np.uint8), gram), strict=True):
+                    body = raw[a : z + WINDOW]
+                    rows.append((cid, int(a), int(z - a + 1), hashlib.blake2b(body, digest_size=16).digest(), int(anchor.view(np.int64)), shard, times, body))
+            yield pd.DataFrame(rows, columns=["owner", "at", "windows", "cid", "anchor", "shard", "n", "raw"])
+
+    found = kinds.select("cid", "raw", "shard", "times").mapInPandas(cut, "owner binary, at long, windows long, cid binary, anchor long, shard int, n long, raw binary")
+    return stored(found, "finer-contexts")
+
+
+def repeated(kinds: DataFrame, finer: tuple[int, ...] = FINER) -> DataFrame:
+    """(cid, runs) of the stored ``kinds`` of contexts with shared anchors: the runs of windows that occur more than once."""
+    hot = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("anchor"), "hot-anchors")
+    if hot.isEmpty():
+        return repeated_in_parts(kinds)
+    found = repeated_in_parts(kinds.join(hot.hint("shuffle_hash"), "anchor", "left_anti"))
+    rest = kinds.join(hot.hint("shuffle_hash"), "anchor", "left_semi")
+    if not finer:
+        return found.unionByName(repeated_one_by_one(rest))
+    again = dealt_again(rest, finer[0])
+    counted = again.groupBy("anchor").agg(F.min("cid").alias("least"), F.max("cid").alias("most"), F.sum("n").alias("all")).where("all > 1")
+    once = counted.where("least = most").select("anchor")
+    whole = again.join(once.hint("shuffle_hash"), "anchor", "left_semi").select(F.col("owner").alias("cid"), F.array("at", F.col("at") + F.col("windows") - 1).alias("runs"))
+    shared = kinds_of(again.join(counted.where("least != most").select("anchor").hint("shuffle_hash"), "anchor", "left_semi"))
+    below = repeated(shared, finer[1:]).where(F.size("runs") > 0)
+    placed = again.select("owner", "at", "cid").join(below, "cid").select(F.col("owner").alias("cid"), F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
+    return found.unionByName(whole).unionByName(placed)
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """(own, mark, spans) of the documents that hold a repeated string, stored: first byte and end of each, in turn and overlapping."""
-    contexts = contexts_of(docs, repeated_anchors(docs))
-    shared = contexts.groupBy("anchor").agg(F.count_distinct("cid").alias("kinds")).where("kinds > 1")
-    shared = stored(shared, "shared-anchors")
-    listed = lambda rows: small_or_not(rows.select("anchor"), BROADCAST_DOCS)
-    found = repeated_in_parts(kinds_of(contexts.join(listed(shared.where(F.col("kinds") <= HOT)), "anchor", "left_semi")))
-    hot = shared.where(F.col("kinds") > HOT)
-    if not hot.isEmpty():
-        found = found.unionByName(repeated_in_hot(kinds_of(contexts.join(listed(hot), "anchor", "left_semi"))))
-    found = stored(found.where(F.size("runs") > 0), "runs")
+    known = repeated_anchors(docs)
+    contexts = contexts_of(docs, known)
+    shared = contexts.groupBy("anchor").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least != most")
+    shared = stored(shared.select("anchor"), "shared-anchors")
+    found = stored(repeated(kinds_of(contexts.withColumn("n", F.size("starts")).join(shared.hint("shuffle_hash"), "anchor", "left_semi"))).where(F.size("runs") > 0), "runs")
     placed = contexts.select(*KEY, "anchor", "cid", "starts", "windows")
     shifted = F.flatten(F.transform("starts", lambda a: F.transform("runs", lambda r, i: a + r + F.when(i % 2 == 1, F.lit(WINDOW)).otherwise(0))))
     whole = F.flatten(F.transform("starts", lambda a: F.array(a, a + F.col("windows") - 1 + WINDOW)))
-    spans = placed.join(found, "cid").select(*KEY, shifted.alias("spans")).unionByName(placed.join(listed(shared), "anchor", "left_anti").select(*KEY, whole.alias("spans")))
-    return stored(spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "covered")
+    spans = placed.join(found, "cid").select(*KEY, shifted.alias("spans")).unionByName(placed.join(shared.hint("shuffle_hash"), "anchor", "left_anti").select(*KEY, whole.alias("spans")))
+    return dropped(stored(spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "covered"), known, contexts, shared, found)
 
 
 def united(spans) -> list[tuple[int, int]]:
@@ -311,5 +336,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield out
 
     docs = keyed(docs)
-    rows = docs.join(_sent(covered(docs), "spans"), KEY, "left").select("doc_id", "text", "spans")
+    rows = docs.join(covered(docs).hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "spans")
     return rows.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
