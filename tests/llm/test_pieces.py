@@ -48,9 +48,17 @@ def test_segmentations_vary_and_decode(model):
 def test_columns(spark):
     rows = [(1, "some text here", 5), (None, None, None), (1, "some text here", 5), (2, "", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
-    back = docs.withColumn("ids", p.encode(F.col("text"), F.col("doc_id"))).withColumn("back", p.decode(F.col("ids")))
+    back = p.encode(docs, docs.columns).select("row.*", "ids", p.decode(F.col("ids")).alias("back"))
     found = back.collect()
     assert [r.back for r in found] == [r.text or "" for r in found]
     assert [tuple(r.ids) for r in found if r.doc_id == 1][0] == [tuple(r.ids) for r in found if r.doc_id == 1][1]
     trip = p.round_trip(docs)
     assert trip.where("lossless").count() == 4 and p.round_trip(docs.limit(0)).count() == 0
+
+
+def test_encoded_by_groups_as_alone(spark, model, monkeypatch):
+    monkeypatch.setattr(p, "TOGETHER", 500)
+    rows = [(i, t, i) for i, t in enumerate(sample())]
+    found = p.encode(spark.createDataFrame(rows, "doc_id long, text string, ids int").coalesce(1), ["doc_id", "ids"]).collect()
+    assert [r.row.ids for r in found] == [i for i, *_ in rows]
+    assert [r.ids for r in found] == [p.encode_texts(model, [t], [p.key_of(i)], p.DROPOUT)[0].tolist() for i, t, _ in rows]

@@ -25,8 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -245,31 +247,44 @@ def loaded(model: str) -> Pieces:
     return _loaded[model]
 
 
-def _in_groups(batch: pd.DataFrame, seed: int) -> Iterator[tuple[list[str], list[int]]]:
-    texts: list[str] = []
+def _in_groups(texts, doc_ids, seed: int) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts and their keys, about ``TOGETHER`` symbols at once."""
+    held: list[str] = []
     keys: list[int] = []
     size = 0
-    for text, doc_id in zip(batch["text"], batch["key"], strict=True):
-        texts.append(text or "")
+    for text, doc_id in zip(texts, doc_ids, strict=True):
+        held.append(text or "")
         keys.append(key_of(doc_id, seed))
-        size += len(texts[-1])
+        size += len(held[-1])
         if size >= TOGETHER:
-            yield texts, keys
-            texts, keys, size = [], [], 0
-    if texts:
-        yield texts, keys
+            yield held, keys
+            held, keys, size = [], [], 0
+    if held:
+        yield held, keys
 
 
-def encode(text: Column, doc_id: Column, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> Column:
-    """The piece ids of ``text``; only the two columns go to Python."""
+def encode(docs: DataFrame, keep: list[str], model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """(row, ids): the columns ``keep`` of each row of ``docs`` as a struct, and the piece ids of its ``text``.
 
-    @F.pandas_udf("array<int>")
-    def of(texts: pd.Series, keys: pd.Series) -> pd.Series:
+    A task hands over the ids of about ``TOGETHER`` symbols at once, so it never holds those of a whole batch.
+    """
+    text, doc_id = F.col("text"), F.col("doc_id")
+    rows = docs.select(F.struct(*keep).alias("row"), text.cast("string").alias("text"), doc_id.cast("string").alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        batch = pd.DataFrame({"text": texts, "key": keys})
-        return pd.Series([ids for group in _in_groups(batch, seed) for ids in encode_texts(pieces, *group, dropout)], dtype=object)
+        for batch in batches:
+            at = 0
+            every, keys = batch.column(1), batch.column(2)
+            for texts, own in _in_groups((x.as_py() for x in every), (x.as_py() for x in keys), seed):
+                found = encode_texts(pieces, texts, own, dropout)
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids], ["row", "ids"])
+                at += len(texts)
 
-    return of(text.cast("string"), doc_id.cast("string"))
+    out = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType()))])
+    return rows.mapInArrow(run, out)
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:
@@ -290,7 +305,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, se
         pieces = loaded(model)
         for batch in batches:
             found = []
-            for texts, keys in _in_groups(batch, seed):
+            for texts, keys in _in_groups(batch["text"], batch["key"], seed):
                 for text, ids in zip(texts, encode_texts(pieces, texts, keys, dropout), strict=True):
                     decoded = decode_ids(pieces, ids.tolist())
                     found.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == text))
