@@ -37,6 +37,17 @@ def station_order(c: Column | str) -> Column:
     return F.when(trimmed.rlike("^[0-9]+$"), F.regexp_replace(trimmed, "^0+(?=.)", ""))
 
 
+def bare_order(c: Column | str) -> Column:
+    """Leading zeros off any trimmed text, number or not; zeros alone are 0."""
+    trimmed = F.trim(col(c).cast("string"))
+    return F.regexp_replace(trimmed, "^0+(?=.)", "")
+
+
+def order_key(c: Column | str) -> Column:
+    """As ``norm_order``, with the empty text for null."""
+    return F.coalesce(norm_order(c), F.lit(""))
+
+
 def order_candidates(value: str, width: int) -> list[str]:
     """The spellings of an order number: as given, without zeros, padded. They become literals, so the filter reaches the scan."""
     value = value.strip()
@@ -54,8 +65,10 @@ def split_values(value: str) -> list[str]:
 def parse_date(c: Column | str) -> Column:
     """A DATE from ISO, compact or slashed text, or from the date part of a time; null if there's no such day."""
     value = text(c)
-    whole = [F.try_to_timestamp(value, F.lit(layout)) for layout in (*DATE_LAYOUTS, *TIME_LAYOUTS)]
-    return F.coalesce(*whole).cast("date")
+    by = lambda layout: F.try_to_timestamp(value, F.lit(layout))
+    # the usual shapes take one call; a call that fails is dear
+    found = F.when(value.rlike("^[0-9]{8}$"), by("yyyyMMdd")).when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), by("yyyy-MM-dd"))
+    return found.when(value.isNotNull(), F.coalesce(*[by(layout) for layout in (*DATE_LAYOUTS, *TIME_LAYOUTS)])).cast("date")
 
 
 def parse_time(c: Column | str) -> Column:
@@ -63,6 +76,20 @@ def parse_time(c: Column | str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(layout)) for layout in (*TIME_LAYOUTS, *DATE_LAYOUTS)])
 
 
+def utc_time(c: Column | str) -> Column:
+    """The UTC time of ISO text with or without an offset, of times without seconds, and of days; null for other text. Times without an offset are UTC."""
+    value = text(c)
+    zoned = value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    plain = value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?)?$")
+    whole = F.regexp_replace(F.regexp_replace(value, "^(.{10})$", "$1 00:00"), "^(.{10}[T ][0-9]{2}:[0-9]{2})(?!:)", "$1:00")
+    return F.when(plain, F.concat(whole, F.lit("Z"))).when(zoned, whole).try_cast("timestamp")
+
+
+def months_before(time: Column, months: int) -> Column:
+    """The same time of day so many calendar months before; a day that the month lacks becomes its last one."""
+    return time - F.make_interval(months=F.lit(months))
+
+
 def iso_date(c: Column | str) -> Column:
     """``YYYY-MM-DD`` for eight digits; other text as it is."""
     value = col(c).cast("string")
@@ -97,6 +124,20 @@ def first_text(*columns: Column | str) -> Column:
     return F.coalesce(*[text(c) for c in columns])
 
 
+def first_value(*columns: Column | str) -> Column:
+    """The first that isn't null, as text: it wins even if it is blank or can't be parsed."""
+    return F.coalesce(*[col(c).cast("string") for c in columns])
+
+
+def present_any(*columns: Column | str) -> Column:
+    """Any of the columns is there and not empty."""
+    return any_of([~missing(c) for c in columns])
+
+
+def equals_any(columns: list[Column | str], value) -> Column:
+    return any_of([F.coalesce(col(c) == F.lit(value), F.lit(False)) for c in columns])
+
+
 def missing(c: Column | str) -> Column:
     """Null or the empty text; blanks count as present."""
     return F.coalesce(col(c).cast("string"), F.lit("")) == ""
@@ -144,6 +185,28 @@ def in_days(day: Column, first: str | None, last: str | None) -> Column:
     return all_of(([day >= F.lit(first).cast("date")] if first else []) + ([day <= F.lit(last).cast("date")] if last else []))
 
 
+def in_compact_days(c: Column | str, first: str | None, last: str | None) -> Column:
+    """Days as compact text, from ``first`` to ``last``, both included, either absent, with or without dashes."""
+    day = col(c)
+    return all_of(([day >= F.lit(first.replace("-", ""))] if first else []) + ([day <= F.lit(last.replace("-", ""))] if last else []))
+
+
+def in_any_days(columns: list[Column | str], first: str | None, last: str | None) -> Column:
+    """Any of the columns, in whatever layout, is a day in the range."""
+    return any_of([F.coalesce(in_days(parse_date(c), first, last), F.lit(False)) for c in columns])
+
+
+def clamped(first: str, last: str, year: int) -> tuple[str, str]:
+    """A range of days, given as ISO or compact texts or left open, cut to one calendar year."""
+    iso = lambda x: f"{x[:4]}-{x[4:6]}-{x[6:]}" if len(x) == 8 and x.isdigit() else x[:10]
+    return max(iso(first.strip()) or f"{year}-01-01", f"{year}-01-01"), min(iso(last.strip()) or f"{year}-12-31", f"{year}-12-31")
+
+
+def canonical(columns: list[str]) -> Column:
+    """The columns as one JSON text, by name, nulls included: equal texts are equal rows."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
 def business_key(*columns: Column | str) -> Column:
     """SHA-256 of the JSON array of the columns' texts."""
     return F.sha2(F.to_json(F.array(*[F.coalesce(F.trim(col(c).cast("string")), F.lit("")) for c in columns])), 256)

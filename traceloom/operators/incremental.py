@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions.scalars import after, up_to
+from traceloom.operators.reconcile import classify
 
 
 def since_mark(rows: DataFrame, time: str, mark: str, days: int, orders: list[str] | None = None) -> DataFrame:
@@ -40,3 +41,31 @@ def day_windows(spark: SparkSession, first: str, last: str, days: int) -> DataFr
 def retry_queue(rows: DataFrame, pending: str, attempted: str, key: str, limit: int) -> DataFrame:
     """The rows to try again, longest waiting first; those never tried come before."""
     return rows.where(pending).orderBy(F.col(attempted).asc_nulls_first(), key).limit(limit)
+
+
+def after_anchor(rows: DataFrame, columns: list[str], start: list, end: list) -> DataFrame:
+    """As ``between_places``, if the row of the start tuple is there exactly once; else it's an error, as the source isn't the one that the cursor was taken from."""
+    same = F.struct(*[F.col(c) for c in columns]) == F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, start, strict=True)])
+    if (seen := rows.where(same).limit(2).count()) != 1:
+        raise ValueError(f"the row of the cursor is there {'more than once' if seen else 'no more'}")
+    return between_places(rows, columns, start, end)
+
+
+def committed_marks(marks: DataFrame, outcomes: DataFrame, mark: str) -> DataFrame:
+    """(source, mark): every source's mark moves to ``mark`` if all outcomes (source, success) are good and none is absent, else none moves; no mark goes back."""
+    bad = marks.join(outcomes, "source", "left").agg(F.count_if(~F.coalesce("success", F.lit(False))).alias("bad"))
+    moved = F.when(F.col("bad") == 0, F.greatest("mark", F.lit(mark))).otherwise(F.col("mark"))
+    return marks.join(F.broadcast(bad)).select("source", moved.alias("mark"))
+
+
+def rolling_changes(snapshot: DataFrame, stored: DataFrame, keys: list[str], values: list[str], day: str, first: str, last: str) -> DataFrame:
+    """Every key with ``action``, as ``classify``; a stored row is stale only if its day is in the window that the snapshot covers, and stays (``outside``) else."""
+    actions = classify(snapshot, stored, keys, values)
+    days = stored.select(*keys, F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")).alias("inside"))
+    joined = actions.join(days, keys, "left")
+    return joined.select(*keys, F.when((F.col("action") == "stale") & ~F.coalesce("inside", F.lit(False)), "outside").otherwise(F.col("action")).alias("action"))
+
+
+def planned(actions: DataFrame) -> DataFrame:
+    """What a run would do, without doing it: the number of keys by action."""
+    return actions.groupBy("action").agg(F.count("*").alias("n"))

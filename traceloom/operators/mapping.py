@@ -15,6 +15,13 @@ def unique_map(rows: DataFrame, key: Column, value: Column) -> DataFrame:
     return counted.select("key", F.when(F.col("candidates") == 1, F.col("least")).alias("value"), "candidates")
 
 
+def unique_maps(rows: DataFrame, key: Column, values: dict[str, Column]) -> DataFrame:
+    """key and, for each name, the only value of the key, by one aggregation."""
+    pairs = rows.select(key.alias("key"), *[text(v).alias(n) for n, v in values.items()]).where("key IS NOT NULL AND key != ''")
+    ends = pairs.groupBy("key").agg(*[x for n in values for x in (F.min(n).alias(f"{n}_least"), F.max(n).alias(f"{n}_most"))])
+    return ends.select("key", *[F.when(F.col(f"{n}_least") == F.col(f"{n}_most"), F.col(f"{n}_least")).alias(n) for n in values])
+
+
 def classified(mapped: DataFrame) -> DataFrame:
     """How many keys a map settles, and how many it leaves ambiguous."""
     return mapped.agg(F.count_if(F.col("candidates") == 1).alias("unique_keys"), F.count_if(F.col("candidates") > 1).alias("ambiguous_keys"))
@@ -94,9 +101,8 @@ def backfill_repairs(repairs: DataFrame, stations: DataFrame, orders: DataFrame,
     if external is not None:
         more = unique_map(external, F.trim("PCODE"), F.col("AUFNR")).select(F.col("key").alias("ke"), F.col("value").alias("ve"))
         rows = rows.join(more, F.col("PCODE") == F.col("ke"), "left").withColumn("AUFNR", F.when(F.col("AUFNR") == "", F.coalesce("ve", F.lit(""))).otherwise(F.col("AUFNR"))).drop("ke", "ve")
-    by_sales = unique_map(orders, norm_order("AUFNR"), F.col("VBELN")).select(F.col("key").alias("k1"), F.col("value").alias("v1"))
-    by_day = unique_map(orders, norm_order("AUFNR"), F.col("gstrs_date")).select(F.col("key").alias("k2"), F.col("value").alias("v2"))
-    rows = rows.join(by_sales, norm_order("AUFNR") == F.col("k1"), "left").join(by_day, norm_order("AUFNR") == F.col("k2"), "left")
+    board = unique_maps(orders, norm_order("AUFNR"), {"v1": F.col("VBELN"), "v2": F.col("gstrs_date")})
+    rows = rows.join(board, norm_order("AUFNR") == F.col("key"), "left")
     return rows.select(
         "repair_id", "AUFNR", F.when(F.col("VBELN") == "", F.coalesce("v1", F.lit(""))).otherwise(F.col("VBELN")).alias("VBELN"),
         F.when(F.col("GSTRS") == "", F.coalesce("v2", F.lit(""))).otherwise(F.col("GSTRS")).alias("GSTRS"), "step",

@@ -42,10 +42,13 @@ DATASETS = {
         FROM stations s LEFT JOIN prodmap pm ON trim(s.AUFNR) != '' AND nz(s.AUFNR) = pm.key LEFT JOIN ordmap om ON s.KDAUF != '' AND nz(s.KDAUF) = om.key""",
     "day1": """SELECT nz(AUFNR) AS key, CASE WHEN count(DISTINCT gstrs_date) = 1 THEN min(gstrs_date) END AS value, count(DISTINCT gstrs_date) AS n FROM ords WHERE ZSTAT = 'F' GROUP BY 1""",
     "day2": """SELECT nz(VBELN) AS key, CASE WHEN count(DISTINCT gstrs_date) = 1 THEN min(gstrs_date) END AS value, count(DISTINCT gstrs_date) AS n FROM ords WHERE ZSTAT = 'F' AND VBELN != '' GROUP BY 1""",
-    "pair_a": """SELECT PCODE AS key, min({'p': trim(AUFNR), 's': trim(KDAUF)}) AS pair FROM stations WHERE event_id % 40 = 1 AND trim(AUFNR) != '' AND KDAUF != '' GROUP BY 1 HAVING count(DISTINCT trim(AUFNR) || '|' || KDAUF) = 1""",
+    "pair_a": """SELECT PCODE AS key, min({'p': trim(AUFNR), 's': trim(KDAUF)}) AS pair FROM stations WHERE trim(AUFNR) != '' AND KDAUF != '' GROUP BY 1 HAVING count(DISTINCT trim(AUFNR) || '|' || KDAUF) = 1""",
     "pair_b": """SELECT PCODE AS key, min({'p': AUFNR, 's': VBELN}) AS pair FROM repairs WHERE coalesce(AUFNR, '') != '' AND coalesce(VBELN, '') != '' GROUP BY 1 HAVING count(DISTINCT AUFNR || '|' || VBELN) = 1""",
     "stepped": """SELECT repair_id, coalesce(AUFNR, '') AS a, coalesce(VBELN, '') AS b, GSTRS AS g, CASE WHEN (a = '' OR b = '') AND pa.key IS NOT NULL AND (a = '' OR nz(a) = nz(pa.pair.p)) THEN 'stations' WHEN (a = '' OR b = '') AND pb.key IS NOT NULL AND (a = '' OR nz(a) = nz(pb.pair.p)) THEN 'repairs' ELSE '' END AS step, pa.pair AS x, pb.pair AS y FROM repairs r LEFT JOIN pair_a pa ON r.PCODE = pa.key LEFT JOIN pair_b pb ON r.PCODE = pb.key""",
     "chained": """SELECT repair_id, step, g, CASE WHEN a != '' THEN a WHEN step = 'stations' THEN x.p WHEN step = 'repairs' THEN y.p ELSE '' END AS a, CASE WHEN b != '' THEN b WHEN step = 'stations' THEN x.s WHEN step = 'repairs' THEN y.s ELSE '' END AS b FROM stepped""",
+    "odocs": """SELECT o_orderkey AS k, 'SG:' || o_orderkey AS order_id, CASE WHEN o_orderkey % 19 != 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS vbeln, 'K' || (o_custkey % 300) AS kid, o_orderpriority AS model, 'L' || (o_orderkey % 7) AS lgort, strftime(o_orderdate, '%Y%m%d') AS gstrs,
+        CASE WHEN o_orderkey % 7 = 0 THEN '' END AS d_shipped, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d') WHEN 2 THEN 'soon' END AS d_wadat, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 20 DAY, '%Y-%m-%d') END AS t_shipped,
+        CASE WHEN o_orderkey % 5 IN (0, 1) THEN CAST(o_orderdate AS DATE) END AS wadat_day, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate + INTERVAL 20 DAY AS DATE) END AS shipped_day FROM orders""",
     "runs": """SELECT user_id || '-' || strftime(ts, '%Y-%m-%d %H') AS run_id, strftime(ts, '%Y-%m-%d %H') AS started, user_id, event_id, event_type AS task, CASE WHEN value > 12 THEN 'failed' ELSE 'success' END AS state, ts FROM events""",
 }
 
@@ -106,7 +109,7 @@ QUERIES = {
     "enriched_kept": "SELECT repair_id, CASE WHEN coalesce(VBELN, '') = '' AND same THEN 'S-kept' ELSE coalesce(VBELN, '') END AS VBELN, CASE WHEN g = '' AND same THEN '2024-01-01' ELSE g END AS GSTRS FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN '' ELSE GSTRS END AS g, coalesce(AUFNR, '') = '' OR event_id % 3 != 0 AS same FROM repairs)",
     "device_groups": "SELECT device, count(*) AS pieces, count(DISTINCT doa_code) AS documents, count(DISTINCT material_sn) AS materials, min(sales_order) AS first_sales_order FROM proof GROUP BY 1 HAVING bool_or(material_sn LIKE '%7')",
     "device_value_resolution": "SELECT device, CASE WHEN count(DISTINCT nullif(day, 'bad')) > 1 THEN 'conflict' WHEN bool_or(coalesce(day = 'bad', false)) THEN 'invalid' WHEN count(day) = 0 THEN 'missing' ELSE 'valid' END AS factory_status FROM proof GROUP BY 1",
-    "device_expansion": "SELECT device, doa_code, material_sn FROM proof WHERE device IN (SELECT device FROM proof WHERE doa_code IN ('D17', 'D18', 'D4001'))",
+    "device_expansion": "SELECT p.device, p.doa_code, p.material_sn FROM proof p JOIN (SELECT DISTINCT device FROM proof WHERE doa_code IN ('D17', 'D18', 'D4001')) t ON p.device = t.device",
     "incremental_lookback": "SELECT HISTROYID, SPEC_TIME FROM stations WHERE synced_at >= TIMESTAMP '2024-01-06 12:00:00'",
     "next_mark": "SELECT greatest('2024-01-05 00:00:00', strftime(max(synced_at), '%Y-%m-%d %H:%M:%S')) AS mark FROM stations",
     "tuple_cursor_range": "SELECT GSTRS, SPEC, HISTROYID FROM stations WHERE (GSTRS > '20240103' OR (GSTRS = '20240103' AND (SPEC > 'error' OR (SPEC = 'error' AND HISTROYID > '0000000000')))) AND (GSTRS < '20240106' OR (GSTRS = '20240106' AND (SPEC < 'click' OR (SPEC = 'click' AND HISTROYID <= '0000004000'))))",
@@ -124,6 +127,34 @@ QUERIES = {
     "events_in_window": "SELECT HISTROYID, GSTRS FROM stations",
     "postings_version_round_trip": "SELECT posting_id, 'M' || split_part(posting_id, '-', 3) AS MATNR, AUART FROM postings WHERE AUART = 'ZP02'",
     "stream_available_now": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS passes, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
+    "order_normalized": "SELECT order_id, 'SG' AS source, vbeln AS sales_order, kid AS customer, model, lgort AS location, gstrs AS planned_start, nullif(coalesce(d_shipped, d_wadat, t_shipped), '') AS shipped_on, CASE k % 4 WHEN 0 THEN 1250.0::DOUBLE WHEN 1 THEN NULL WHEN 2 THEN 7.0::DOUBLE END AS shipped_quantity, CASE k % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN NULL ELSE CASE WHEN k % 2 = 1 THEN true END END AS is_5000_company FROM odocs",
+    "orders_shipped_between": "SELECT order_id FROM odocs WHERE wadat_day BETWEEN DATE '1996-01-10' AND DATE '1996-03-20' OR shipped_day BETWEEN DATE '1996-01-10' AND DATE '1996-03-20'",
+    "orders_with_shipment": "SELECT order_id FROM odocs WHERE (k % 4 IN (0, 1) OR k % 2 = 0) AND k % 2 = 1",
+    "station_model_days": "SELECT HISTROYID, GSTRS FROM stations WHERE MAKTX_TH = 'T2' AND GSTRS BETWEEN '20240102' AND '20240104'",
+    "repairs_by_repair_day": "SELECT repair_id, ZDATE_WX FROM repairs WHERE ZDATE_WX BETWEEN '20240104' AND '20240106'",
+    "order_option_lists": "SELECT DISTINCT 'KID' AS name, KID AS value FROM ords UNION ALL SELECT DISTINCT 'MAKTX_TH', o_orderpriority FROM orders UNION ALL SELECT DISTINCT 'LGORT', LGORT FROM ords UNION ALL SELECT 'WERKS', 'W1' FROM ords GROUP BY 1",
+    "posting_option_lists": "SELECT DISTINCT 'CPX' AS name, trim(CPX) AS value FROM postings WHERE trim(CPX) != '' UNION ALL SELECT DISTINCT 'AUART', AUART FROM postings UNION ALL SELECT DISTINCT 'KUNNR', CAST(l_suppkey AS VARCHAR) FROM lineitem",
+    "repair_sales_order_match": "SELECT count(*) FILTER (has) AS matched, count(*) FILTER (NOT has AND own IS NOT NULL) AS unmatched, count(*) FILTER (own IS NULL) AS empty FROM (SELECT nullif(trim(VBELN), '') AS own, coalesce(nullif(trim(VBELN), '') IN (SELECT VBELN FROM ords WHERE VBELN != ''), false) AS has FROM repairs)",
+    "repair_times": "SELECT repair_id, CASE WHEN event_id % 6 = 0 THEN strftime(synced_at, '%Y-%m-%d') || ' 01:02:03' WHEN event_id % 5 != 0 AND event_id % 4 != 0 THEN strftime(synced_at, '%Y-%m-%d %H:%M:%S') WHEN event_id % 10 != 0 AND event_id % 4 != 0 THEN '2023-12-31 ' || strftime(synced_at, '%H:%M:%S') WHEN event_id % 5 != 0 THEN strftime(synced_at, '%Y-%m-%d') || ' 00:00:00' WHEN event_id % 10 != 0 THEN '2023-12-31 00:00:00' ELSE strftime(synced_at, '%Y-%m-%d %H:%M:%S') END AS repaired_at FROM repairs",
+    "utc_times": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 02:20:30' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:20:30' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:20:00' WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' END AS utc FROM orders",
+    "three_months_before": "SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 10 HOUR - INTERVAL 3 MONTH, '%Y-%m-%d %H:%M:%S') AS since FROM orders",
+    "equal_rows": "SELECT order_id FROM classes WHERE action = 'unchanged'",
+    "nested_values": "SELECT DISTINCT vbeln AS value FROM odocs WHERE vbeln IS NOT NULL",
+    "station_view_ids": "SELECT HISTROYID, HISTROYID AS id, CASE WHEN event_id % 5 = 0 THEN 'given' WHEN event_id % 4 = 0 THEN SPEC ELSE LINE_CODE END AS station_code FROM stations",
+    "order_number_variants": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN k WHEN 1 THEN '00A' || k WHEN 2 THEN '0' WHEN 3 THEN '' END AS normal, CASE o_orderkey % 5 WHEN 0 THEN k WHEN 2 THEN '0' END AS station, CASE o_orderkey % 5 WHEN 0 THEN k WHEN 1 THEN 'A' || k WHEN 2 THEN '0' WHEN 3 THEN '' END AS bare, CASE o_orderkey % 5 WHEN 0 THEN k WHEN 1 THEN '00A' || k WHEN 2 THEN '0' ELSE '' END AS order_key FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders)",
+    "conflict_samples": "SELECT CASE action WHEN 'insert' THEN 'missing' WHEN 'stale' THEN 'extra' ELSE 'field_mismatch' END AS kind, order_id FROM classes WHERE action != 'unchanged' ORDER BY 1, 2 LIMIT 20",
+    "clamped_windows": "SELECT strftime(d, '%Y-%m-%d') AS first_day, strftime(least(d + INTERVAL 30 DAY, TIMESTAMP '2026-12-31'), '%Y-%m-%d') AS last_day FROM generate_series(TIMESTAMP '2026-01-01', TIMESTAMP '2026-12-31', INTERVAL 31 DAY) AS t(d)",
+    "committed_marks": "SELECT source, greatest(strftime(min(last_synced_at), '%Y-%m-%d'), '1997-01-01') AS mark FROM ords GROUP BY 1",
+    "held_marks": "SELECT source, strftime(min(last_synced_at), '%Y-%m-%d') AS mark FROM ords GROUP BY 1",
+    "rolling_snapshot": "SELECT coalesce(n.order_id, o.order_id) AS order_id, CASE WHEN o.order_id IS NULL THEN 'insert' WHEN n.order_id IS NULL THEN CASE WHEN o.gstrs_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' THEN 'stale' ELSE 'outside' END WHEN o.order_id LIKE '%5' THEN 'update' ELSE 'unchanged' END AS action FROM (SELECT * FROM ords WHERE gstrs_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND order_id NOT LIKE '%3') n FULL JOIN (SELECT * FROM ords WHERE order_id NOT LIKE '%4') o ON n.order_id = o.order_id",
+    "planned_changes": "SELECT action, count(*) AS n FROM classes GROUP BY 1",
+    "anchored_cursor_range": "SELECT GSTRS, SPEC, HISTROYID FROM stations WHERE HISTROYID > '0000000100' AND HISTROYID <= '0000000900'",
+    "bounded_station_count": "SELECT least(count(*), 501) AS counted, count(*) > 500 AS over FROM stations",
+    "matching_devices": "SELECT DISTINCT 'D' || o_orderkey AS doa_code FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0 AND (l_partkey = 77 OR (l_partkey % 5 != 0 AND false))",
+    "retired_versions": "SELECT CAST(CASE WHEN AUART = 'ZP01' THEN 1 ELSE 2 END AS INTEGER) AS version, count(*) AS rows FROM postings GROUP BY 1",
+    "html_table_rows": "SELECT CAST(id AS BIGINT) AS id, CAST(place AS INTEGER) AS place, serial, unit, context_value, serial AS material_sn FROM (VALUES (0), (1)) a(id), (VALUES (0, 'A1', 'x & y', 'c77'), (1, 'B2', NULL, NULL)) b(place, serial, unit, context_value)",
+    "html_labels": "SELECT CAST(id AS BIGINT) AS id, CASE WHEN id < 2 THEN 'late part' END AS type, CASE WHEN id < 2 THEN '9f' ELSE '' END AS parts, 'a b' AS linked FROM (VALUES (0), (1), (2)) a(id)",
+    "html_extract": "SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(coalesce(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ''), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href=')) AS BIGINT) AS links FROM pages",
 }
 
 STATS = """count(*) AS total, CAST(sum(CASE WHEN ERROR_CODE != '' OR coalesce(ERROR_MSG, '') != '' THEN 1 ELSE 0 END) AS BIGINT) AS with_error, count(*) FILTER (coalesce(U_FIX, '') != '') AS with_person, count(*) FILTER (coalesce(MATNR, '') != '') AS with_material,
@@ -143,7 +174,7 @@ def _with_datasets(sql: str) -> str:
     while found - needed:
         needed |= found
         found = {name for name in DATASETS for other in needed if re.search(rf"\b(FROM|JOIN) {name}\b", DATASETS[other])}
-    parts = ", ".join(f"{name} AS ({body})" for name, body in DATASETS.items() if name in needed)
+    parts = ", ".join(f"{name} AS {'MATERIALIZED ' if name == 'proof' else ''}({body})" for name, body in DATASETS.items() if name in needed)
     return f"WITH {parts} {sql}" if parts else sql
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions import scalars as s
-from traceloom.operators import incremental, mapping, read, reconcile, rollup, runs, stats
+from traceloom.operators import documents, incremental, mapping, read, reconcile, rollup, runs, stats
 from traceloom.plans import views as v
 from traceloom.plans.filters import Filter, predicate
 from traceloom.sources import html, roles, sinks
@@ -245,8 +244,7 @@ def bom_planned_start(spark, d):
 
 @query
 def repair_backfill_chain(spark, d):
-    stations = roles.stations(spark, d).where("HISTROYID % 40 = 1")
-    return mapping.backfill_repairs(roles.repairs(spark, d), stations, roles.orders(spark, d))
+    return mapping.backfill_repairs(roles.repairs(spark, d), roles.stations(spark, d), roles.orders(spark, d))
 
 
 @query
@@ -446,7 +444,9 @@ def html_extract(spark, d):
 
 
 def _shared(spark: SparkSession) -> str:
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="traceloom-")
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -454,5 +454,183 @@ def _shared(spark: SparkSession) -> str:
 def stream_available_now(spark, d):
     root = _shared(spark)
     passes.run_available(passes.hourly(passes.event_stream(spark, f"{d}/events.parquet*")), f"{root}/hours", f"{root}/marks", "complete")
-    rows = spark.read.parquet(f"{root}/hours/batch=*")
+    # the last batch has the state of all hours
+    last = max(spark.read.parquet(f"{root}/hours").select("batch").distinct().collect())[0]
+    rows = spark.read.parquet(f"{root}/hours/batch={last}")
     return rows.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "passes", F.round("value", 2).alias("value"))
+
+
+@query
+def order_normalized(spark, d):
+    return documents.normal_order(roles.order_documents(spark, d))
+
+
+@query
+def orders_shipped_between(spark, d):
+    rows = roles.order_documents(spark, d)
+    return rows.where(s.in_any_days(documents.aliases(rows, documents.SHIPPED), "1996-01-10", "1996-03-20")).select("order_id")
+
+
+@query
+def orders_with_shipment(spark, d):
+    rows = roles.order_documents(spark, d)
+    wanted = s.present_any(*documents.aliases(rows, documents.SHIPPED_QUANTITY)) & s.equals_any(documents.aliases(rows, documents.COMPANY), "yes")
+    return rows.where(wanted).select("order_id")
+
+
+@query
+def station_model_days(spark, d):
+    return roles.stations(spark, d).where(predicate(v.STATIONS, Filter({"model": "T2"}, first_day="2024-01-02", last_day="2024-01-04"))).select("HISTROYID", "GSTRS")
+
+
+@query
+def repairs_by_repair_day(spark, d):
+    return roles.repairs(spark, d).where(s.in_compact_days("ZDATE_WX", "2024-01-04", "20240106")).select("repair_id", "ZDATE_WX")
+
+
+@query
+def order_option_lists(spark, d):
+    return documents.option_lists(roles.orders(spark, d), ["KID", "MAKTX_TH", "LGORT", "WERKS", "NAME1_ZU"])
+
+
+@query
+def posting_option_lists(spark, d):
+    return documents.option_lists(roles.postings(spark, d), ["CPX", "AUART", "KUNNR"])
+
+
+@query
+def repair_sales_order_match(spark, d):
+    return documents.sales_order_match(roles.repairs(spark, d), roles.orders(spark, d))
+
+
+@query
+def repair_times(spark, d):
+    rows = roles.repairs(spark, d).selectExpr(
+        "repair_id", "CASE WHEN repair_id % 6 = 0 THEN concat(substr(ZDATE_WX, 1, 4), '-', substr(ZDATE_WX, 5, 2), '-', substr(ZDATE_WX, 7), ' 01:02:03') WHEN repair_id % 6 = 1 THEN 'bad' END AS ZWXDT",
+        "CASE WHEN repair_id % 5 != 0 THEN ZDATE_WX END AS ZDATE_WX", "CASE WHEN repair_id % 4 != 0 THEN ZTIME END AS ZTIME", "CASE WHEN repair_id % 10 != 0 THEN '20231231' END AS ZDATE", "synced_at",
+    )
+    return rows.select("repair_id", F.date_format(documents.repair_time(rows), "yyyy-MM-dd HH:mm:ss").alias("repaired_at"))
+
+
+@query
+def utc_times(spark, d):
+    day = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    rows = roles.table(spark, d, "orders").selectExpr("o_orderkey", f"CASE o_orderkey % 6 WHEN 0 THEN concat({day}, 'T10:20:30+08:00') WHEN 1 THEN concat({day}, 'T10:20:30Z') WHEN 2 THEN concat({day}, ' 10:20') WHEN 3 THEN {day} WHEN 4 THEN 'never' END AS written")
+    return rows.select("o_orderkey", F.date_format(F.to_utc_timestamp(s.utc_time("written"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+@query
+def three_months_before(spark, d):
+    rows = roles.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 10 HOURS")).alias("at"))
+    return rows.select("o_orderkey", F.date_format(s.months_before(F.col("at"), 3), "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query
+def equal_rows(spark, d):
+    snapshot, stored = _halves(spark, d)
+    one = snapshot.select("order_id", s.canonical(["order_id", "VBELN", "KID"]).alias("new"))
+    return one.join(stored.select("order_id", s.canonical(["KID", "VBELN", "order_id"]).alias("old")), "order_id").where("new = old").select("order_id")
+
+
+@query
+def nested_values(spark, d):
+    return documents.values_at(roles.order_documents(spark, d), "data.VBELN")
+
+
+@query
+def station_view_ids(spark, d):
+    rows = roles.stations(spark, d).selectExpr("HISTROYID", "CASE WHEN HISTROYID % 3 = 0 THEN ' ' ELSE HISTROYID END AS source_key", "CASE WHEN HISTROYID % 4 = 0 THEN '' ELSE LINE_CODE END AS LINE_CODE", "SPEC", "OPERATION", "CASE WHEN HISTROYID % 5 = 0 THEN 'given' END AS station_code")
+    return documents.view_ids(rows, ["source_key", "HISTROYID"], ["LINE_CODE", "SPEC", "OPERATION"]).select("HISTROYID", "id", "station_code")
+
+
+@query
+def order_number_variants(spark, d):
+    number = "CASE o_orderkey % 5 WHEN 0 THEN concat('00', o_orderkey) WHEN 1 THEN concat('00A', o_orderkey) WHEN 2 THEN '000' WHEN 3 THEN ' ' END"
+    rows = roles.table(spark, d, "orders").selectExpr("o_orderkey", f"{number} AS n")
+    return rows.select("o_orderkey", s.norm_order("n").alias("normal"), s.station_order("n").alias("station"), s.bare_order("n").alias("bare"), s.order_key("n").alias("order_key"))
+
+
+@query
+def conflict_samples(spark, d):
+    rows = reconcile.differences(*_halves(spark, d), ["order_id"], ["VBELN", "KID"])
+    return documents.samples(rows, [F.col("kind"), F.col("order_id")], 20).select("kind", "order_id")
+
+
+@query
+def clamped_windows(spark, d):
+    first, last = s.clamped("20251130", "", 2026)
+    return incremental.day_windows(spark, first, last, 31).select(F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"))
+
+
+@query
+def committed_marks(spark, d):
+    marks = roles.orders(spark, d).groupBy("source").agg(F.date_format(F.min("last_synced_at"), "yyyy-MM-dd").alias("mark"))
+    outcomes = marks.select("source", F.lit(True).alias("success"))
+    return incremental.committed_marks(marks, outcomes, "1997-01-01")
+
+
+@query
+def held_marks(spark, d):
+    marks = roles.orders(spark, d).groupBy("source").agg(F.date_format(F.min("last_synced_at"), "yyyy-MM-dd").alias("mark"))
+    return incremental.committed_marks(marks, marks.where("source = 'SG'").select("source", F.lit(True).alias("success")), "1997-01-01")
+
+
+@query
+def rolling_snapshot(spark, d):
+    rows = roles.orders(spark, d).select("order_id", "VBELN", "KID", "gstrs_date")
+    snapshot = rows.where("gstrs_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND order_id NOT LIKE '%3'")
+    stored = rows.where("order_id NOT LIKE '%4'").withColumn("KID", F.when(F.col("order_id").like("%5"), "K-old").otherwise(F.col("KID")))
+    return incremental.rolling_changes(snapshot, stored, ["order_id"], ["VBELN", "KID"], "gstrs_date", "1995-01-01", "1996-12-31")
+
+
+@query
+def planned_changes(spark, d):
+    return incremental.planned(reconcile.classify(*_halves(spark, d), ["order_id"], ["VBELN", "KID"]))
+
+
+@query
+def anchored_cursor_range(spark, d):
+    return incremental.after_anchor(roles.stations(spark, d).select("GSTRS", "SPEC", "HISTROYID"), ["HISTROYID"], ["0000000100"], ["0000000900"])
+
+
+@query
+def bounded_station_count(spark, d):
+    return documents.bounded_count(roles.stations(spark, d), 500)
+
+
+@query
+def matching_devices(spark, d):
+    return documents.matching_devices(roles.declarations(spark, d), F.col("doa_judge") == "yes", serial="M77").select("doa_code")
+
+
+@query
+def retired_versions(spark, d):
+    root = _shared(spark)
+    rows = roles.postings(spark, d).select("posting_id", "AUART")
+    sinks.write_version(rows.where("AUART = 'ZP01'"), root, 1)
+    sinks.write_version(rows.where("AUART = 'ZP02'"), root, 2)
+    return sinks.retired(spark, root, apply=True)
+
+
+#: Pages as the service desk writes them.
+PAGE = (
+    "<form id='list'><table><tr><th name='mtr_sn'>Serial</th><th id='unit'>Unit</th></tr><tr><td> A1 </td><td>x &amp; y</td></tr><tr><td>B2</td><td></td></tr></table></form>"
+    "<a href='go?contextKey=so_sub_service_order&contextValue=c77'>1</a><table><tr><th>Type：</th><td>late  part</td></tr></table><script>{'pml': 'parts', u: 'x?contextValue=9f'}</script>"
+)
+
+
+def _pages(spark: SparkSession) -> DataFrame:
+    return spark.range(3).select("id", F.when(F.col("id") < 2, F.lit(PAGE)).otherwise(F.lit("<p>empty</p>")).alias("html"))
+
+
+@query
+def html_table_rows(spark, d):
+    rows = _pages(spark).select("id", F.posexplode(html.equipment_rows(F.col("html"), "list", "so_sub_service_order")).alias("place", "r"))
+    named = html.aliased(F.col("r.fields"), {"serial": ["sn", "mtr_sn"], "unit": ["unit"]})
+    return rows.select("id", "place", *named, "r.context_value", "r.material_sn")
+
+
+@query
+def html_labels(spark, d):
+    rows = _pages(spark).select("id", html.label_values(F.col("html"))["Type"].alias("type"), html.named_context(F.col("html"), "parts").alias("parts"))
+    return rows.withColumn("linked", html.context_value(F.lit("go?contextValue=a%20b&x=1")))

@@ -115,6 +115,23 @@ def title_and_links(html: Column) -> Column:
     return found(html)
 
 
+def context_value(link: Column) -> Column:
+    """The decoded context of a link, or the empty text."""
+    return F.coalesce(F.try_url_decode(F.regexp_extract(F.coalesce(link, F.lit("")), "contextValue=([^&'}]+)", 1)), F.lit(""))
+
+
+def named_context(html: Column, name: str) -> Column:
+    """The context that follows a named list in a page's script, or the empty text."""
+    pattern = rf"(?s)['\"]pml['\"]\s*:\s*['\"]{re.escape(name)}.*?contextValue=([A-Za-z0-9]+)"
+    return F.regexp_extract(F.coalesce(html, F.lit("")), pattern, 1)
+
+
+def equipment_rows(html: Column, form: str, key: str) -> Column:
+    """The rows of a form's table, each with the context at its place in the page (null beyond the last one) and its material serial number."""
+    contexts = F.regexp_extract_all(html, F.lit(f"contextKey={key}&contextValue=([A-Za-z0-9]+)"), F.lit(1))
+    return F.transform(table_rows(html, form), lambda row, i: F.struct(row.alias("fields"), F.get(contexts, i).alias("context_value"), F.coalesce(row["mtr_sn"], F.lit("")).alias("material_sn")))
+
+
 def aliased(row: Column, aliases: dict[str, list[str]]) -> list[Column]:
     """Canonical columns: the first alias in the map that isn't blank."""
     return [F.coalesce(*[F.nullif(F.trim(row[a]), F.lit("")) for a in names]).alias(name) for name, names in aliases.items()]

@@ -56,6 +56,19 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("gstrs_date", parse_date("GSTRS"))
 
 
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an order as a document: the last line's fields in ``data``, and some values under other names beside it."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('SG:', o_orderkey) AS order_id", "'SG' AS source",
+        "struct(CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE lpad(cast(o_custkey AS string), 10, '0') END AS VBELN, concat(' K', o_custkey % 300) AS KID, o_orderpriority AS MAKTX_TH, concat('L', o_orderkey % 7) AS LGORT, date_format(o_orderdate, 'yyyyMMdd') AS GSTRS,"
+        " CASE WHEN o_orderkey % 7 = 0 THEN '' END AS shipment_date,"
+        " CASE o_orderkey % 5 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'yyyyMMdd') WHEN 2 THEN 'soon' END AS WADAT_IST,"
+        " CASE o_orderkey % 4 WHEN 0 THEN '1,250' WHEN 1 THEN 'many' END AS LFIMG, CASE o_orderkey % 6 WHEN 0 THEN '是' WHEN 1 THEN 'No' WHEN 2 THEN 'maybe' END AS is5000Company) AS data",
+        "CASE WHEN o_orderkey % 3 = 0 THEN date_format(o_orderdate + INTERVAL 20 DAYS, 'yyyy-MM-dd') END AS shipmentDate",
+        "CASE WHEN o_orderkey % 2 = 0 THEN '7' END AS shipmentQuantity", "CASE WHEN o_orderkey % 2 = 1 THEN 'yes' END AS IS_5000_COMPANY",
+    )
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a line of an order, with quantities as text and an explicit order of lines."""
     return table(spark, sf_dir, "lineitem").selectExpr(

@@ -44,6 +44,20 @@ def write_version(rows: DataFrame, root: str, version: int) -> str:
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The newest version of a dataset that ``write_version`` wrote."""
-    every = spark.read.parquet(root)
-    latest = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == latest).drop("version")
+    return spark.read.parquet(f"{root.rstrip('/')}/version={max(versions(spark, root))}")
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions of a dataset, by the names of their folders."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(int(name.partition("=")[2]) for x in listed if (name := x.getPath().getName()).startswith("version="))
+
+
+def retired(spark: SparkSession, root: str, apply: bool = False) -> DataFrame:
+    """(version, rows) of a dataset that is given up; its files are deleted only with ``apply``."""
+    found = [(n, spark.read.parquet(f"{root.rstrip('/')}/version={n}").count()) for n in versions(spark, root)]
+    if apply:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return spark.createDataFrame(found, "version int, rows long")
