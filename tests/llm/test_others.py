@@ -26,6 +26,31 @@ def test_media_round_trip(spark):
     assert media.media_columns(docs.limit(0)).count() == 0
 
 
+def test_equal_texts_share_one_place_and_reruns_agree(spark):
+    rows = [(i, f"text {i % 7}" if i % 3 else "", "a", 5, b"x") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, offset int, digest binary").repartition(5, "doc_id")
+    first, again = (sorted(map(tuple, media.media_columns(docs).collect())) for _ in range(2))
+    assert first == again and len(first) == 120
+    texts = {r[0]: r[1] for r in rows}
+    found = {}
+    for row in media.media_columns(docs).collect():
+        assert found.setdefault(texts[row.doc_id], tuple(row)[1:]) == tuple(row)[1:]
+        assert (row.width * row.height, row.sample_bits) == (row.payload_bytes, 8)
+
+
+def test_png_is_read_by_another_decoder(spark):
+    payload, _ = media.payload_of("some text of a page " * 20)
+    png = media.to_png(payload)
+    chunks, at = {}, 8
+    while at < len(png):
+        size = int.from_bytes(png[at : at + 4], "big")
+        chunks[png[at + 4 : at + 8]] = png[at + 8 : at + 8 + size]
+        assert int.from_bytes(png[at + 8 + size : at + 12 + size], "big") == zlib.crc32(png[at + 4 : at + 8 + size])
+        at += 12 + size
+    lines = zlib.decompress(chunks[b"IDAT"])
+    assert b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65)) == payload and list(chunks) == [b"IHDR", b"IDAT", b"IEND"]
+
+
 def brute_verdict(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"

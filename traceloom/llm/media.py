@@ -2,13 +2,15 @@
 
 A text's payload (its UTF-8 bytes, filled with bytes 0 to a positive multiple of 64) is stored as an
 8-bit greyscale PNG of 64 samples a line, under the SHA-256 of the payload, as a member of a tar
-shard in the shared folder. Each task writes shards of its own names, so an attempt that is lost
-leaves an unreferenced file and nothing else; a shard holds a payload once, and of several shards
-that hold one, the smallest location counts. Rows carry digest, shard, offset and length. Ranges of
+shard in the shared folder. Shards are named by partition and number, so reruns over the same files give the same names; an attempt
+writes beside its shard and moves it there when it is whole, so an attempt that is lost leaves an unreferenced file and nothing else.
+A shard holds a payload once, and of several shards that hold one, the smallest location counts: all rows of
+equal texts carry that one digest, shard, offset and length. Ranges of
 33 bytes at the offsets give width, height and sample size; whole ranges give the payload back.
 
 Cases: null and empty texts have a payload of 64 bytes 0; equal payloads share one location, so the
-hottest group of copies costs a row a shard; very long texts are one tall image; an empty table
+hottest group of copies costs a row a shard, and what is read meets the rows of digests that hold more than a hundredth of all rows by a
+broadcast of at most a hundred rows; very long texts are one tall image; an empty table
 gives an empty result; columns other than ``doc_id`` and ``text`` are not looked at; a null
 ``doc_id`` is kept.
 """
@@ -18,13 +20,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import tarfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,11 @@ LINE = 64
 SHARD_BYTES = 256 << 20
 HEADER_BYTES = 33
 INDEX = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
-READ = "digest binary, width long, height long, sample_bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: A digest is hot if it has more than this share of the rows.
+HOT = 0.01
+PLACE = "digest binary, shard string, offset long, length long"
+HEADED = f"{PLACE}, width long, height long, sample_bits int"
+READ = f"{HEADED}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -97,14 +103,17 @@ class _Shards:
 
     def __init__(self, folder: str, limit: int):
         self.system, self.folder = fs.FileSystem.from_uri(folder)
-        self.limit, self.out, self.at, self.known = limit, None, 0, {}
+        self.limit, self.out, self.at, self.known, self.number = limit, None, 0, {}, 0
+        task = TaskContext.get()
+        self.partition, self.attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
 
     def add(self, digest: bytes, payload: bytes) -> tuple[str, int, int]:
         if digest in self.known:
             return self.known[digest]
         if self.out is None:
-            self.name, self.at = f"shard-{uuid.uuid4().hex}.tar", 0
-            self.out = self.system.open_output_stream(f"{self.folder}/{self.name}")
+            self.name, self.at = f"shard-{self.partition:06d}-{self.number:04d}.tar", 0
+            self.number += 1
+            self.out = self.system.open_output_stream(f"{self.folder}/{self.name}.{self.attempt}")
         media = to_png(payload)
         info = tarfile.TarInfo(f"{digest.hex()}.png")
         info.size = len(media)
@@ -120,6 +129,11 @@ class _Shards:
         if self.out is not None:
             self.out.write(bytes(1024))
             self.out.close()
+            mine, place = f"{self.folder}/{self.name}.{self.attempt}", f"{self.folder}/{self.name}"
+            if self.system.get_file_info(place).type == fs.FileType.NotFound:
+                self.system.move(mine, place)
+            else:  # another attempt has written the same bytes
+                self.system.delete_file(mine)
         self.out, self.known = None, {}
 
 
@@ -150,7 +164,7 @@ def write_media(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[str, D
 def locations(index: DataFrame) -> DataFrame:
     """One location of each digest, in order of shard and offset, so that a task reads few shards."""
     first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return first.select("digest", "at.*").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    return first.select("digest", "at.shard", "at.offset", "at.length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _ranges(system: fs.FileSystem, path: str, rows: pd.DataFrame, most: int | None) -> Iterator[bytes]:
@@ -165,33 +179,53 @@ def _ranges(system: fs.FileSystem, path: str, rows: pd.DataFrame, most: int | No
         file.close()
 
 
+def with_headers(system: fs.FileSystem, path: str, rows: pd.DataFrame) -> pd.DataFrame:
+    """Locations with width, height and sample bits, by reading 33 bytes of each."""
+    heads = [png_header(x) for x in _ranges(system, path, rows, HEADER_BYTES)]
+    return pd.concat([rows.reset_index(drop=True), pd.DataFrame(heads, columns=["width", "height", "sample_bits"])], axis=1)
+
+
 def header_columns(folder: str, places: DataFrame) -> DataFrame:
-    """Width, height and sample bits of each location, by reading 33 bytes of it."""
+    """The locations with what their headers say; nothing else of the stored bytes is read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, path = fs.FileSystem.from_uri(folder)
         for rows in batches:
-            heads = [png_header(x) for x in _ranges(system, path, rows, HEADER_BYTES)]
-            yield pd.concat([rows[["digest", "length"]].reset_index(drop=True), pd.DataFrame(heads, columns=["width", "height", "sample_bits"])], axis=1)
+            yield with_headers(system, path, rows)
 
-    return places.mapInPandas(read, "digest binary, length long, width long, height long, sample_bits int")
+    return places.mapInPandas(read, HEADED)
 
 
 def read_media(folder: str, places: DataFrame) -> DataFrame:
-    """What each location holds, decoded from the bytes that are stored there."""
+    """As ``header_columns``, with what each location holds, decoded from the bytes that are stored there."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, path = fs.FileSystem.from_uri(folder)
         for rows in batches:
+            headed = with_headers(system, path, rows)
             found = []
-            for digest, media in zip(rows["digest"], _ranges(system, path, rows, None), strict=True):
+            for size, media in zip(headed["width"] * headed["height"], _ranges(system, path, rows, None), strict=True):
                 payload = from_png(media)
-                found.append((bytes(digest), *png_header(media[:HEADER_BYTES]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-LINE:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
-            yield pd.DataFrame(found, columns=[x.split()[0] for x in READ.split(", ")])
+                if len(payload) != size:
+                    raise ValueError("a payload isn't what its header says")
+                found.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-LINE:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
+            more = pd.DataFrame(found, columns=[x.split()[0] for x in READ.removeprefix(HEADED + ", ").split(", ")])
+            yield pd.concat([headed, more], axis=1)
 
     return places.mapInPandas(read, READ)
 
 
+def media_columns(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Each row's doc_id and size with the location and the columns of its stored payload."""
+    folder, index = write_media(docs, shard_bytes)
+    rows = index.select("doc_id", "n_bytes", "digest")
+    read = stored(read_media(folder, locations(index)), "media-columns", compression="zstd")
+    counted = rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > max(1, HOT * index.count())).select("digest")
+    hot = stored(read.join(counted, "digest", "left_semi"), "media-hot")
+    few = F.broadcast(hot.select("digest"))
+    return rows.join(F.broadcast(hot), "digest").unionByName(rows.join(few, "digest", "left_anti").join(read, "digest"))
+
+
 def media_columns(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Each row's doc_id, size and location with the columns of its stored payload."""
     folder, index = write_media(docs, shard_bytes)
