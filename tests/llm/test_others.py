@@ -34,7 +34,8 @@ def test_equal_texts_share_one_place_and_reruns_agree(spark):
     texts = {r[0]: r[1] for r in rows}
     found = {}
     for row in media.media_columns(docs).collect():
-        assert found.setdefault(texts[row.doc_id], tuple(row)[1:]) == tuple(row)[1:]
+        values = {k: x for k, x in row.asDict().items() if k != "doc_id"}
+        assert found.setdefault(texts[row.doc_id], values) == values
         assert (row.width * row.height, row.sample_bits) == (row.payload_bytes, 8)
 
 
