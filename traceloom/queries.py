@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -446,7 +447,9 @@ def html_extract(spark, d):
 def _shared(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="traceloom-")
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
