@@ -224,9 +224,3 @@ def media_columns(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     hot = stored(read.join(counted, "digest", "left_semi"), "media-hot")
     few = F.broadcast(hot.select("digest"))
     return rows.join(F.broadcast(hot), "digest").unionByName(rows.join(few, "digest", "left_anti").join(read, "digest"))
-
-
-def media_columns(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Each row's doc_id, size and location with the columns of its stored payload."""
-    folder, index = write_media(docs, shard_bytes)
-    return index.join(read_media(folder, locations(index)), "digest")
