@@ -48,7 +48,7 @@ BINDINGS = View(
 )
 DECLARATIONS = View(
     "declarations", "doa_code", "declare_date", ("doa_code", "doa_type", "declare_reason", "service_uid", "status", "doa_judge", "customer_uid", "product_name"), ("declare_time", "doa_code"),
-    (("doa_code", ("doa_code",)), ("doa_type", ("doa_type",)), ("status", ("status",)), ("judgment", ("doa_judge",)), ("customer", ("customer_uid",)), ("service_order", ("service_uid",)), ("sn", ("sugon_sn",)), ("model", ("product_name",)), ("sales_order", ("sales_order",))),
+    (("doa_code", ("doa_code",)), ("doa_type", ("doa_type",)), ("status", ("status",)), ("judgment", ("doa_judge",)), ("customer", ("customer_uid",)), ("service_order", ("service_uid",)), ("sn", ("device_sn",)), ("model", ("product_name",)), ("sales_order", ("sales_order",))),
     limit=250_000, needs_filter=True,
 )
 CHANGES = View(

@@ -125,7 +125,7 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", "concat('D', o_orderkey) AS doa_code", "o_orderpriority AS doa_type", "o_orderstatus AS status", "CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'no' END AS doa_judge",
         "CASE WHEN o_orderkey % 6 = 0 THEN concat(' xnc', o_custkey) WHEN o_orderkey % 6 = 1 THEN concat('XNC', o_custkey) ELSE concat('SH', o_custkey) END AS service_uid",
-        "'' AS declare_reason", "concat('C', o_custkey) AS customer_uid", "concat('SN', o_custkey % 500) AS sugon_sn", "o_orderpriority AS product_name",
+        "'' AS declare_reason", "concat('C', o_custkey) AS customer_uid", "concat('SN', o_custkey % 500) AS device_sn", "o_orderpriority AS product_name",
         "lpad(cast(o_custkey AS string), 10, '0') AS sales_order", "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') AS declare_time", "cast(o_orderdate AS date) AS declare_date", "o_orderdate AS synced_at",
     )
     parts = table(spark, sf_dir, "lineitem").selectExpr(
