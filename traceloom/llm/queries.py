@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import line_dedup, media, mixing, near_dedup, neighbours, pieces, pii, repeats, toxicity, url_filter
+from traceloom.llm import alignment, divergence, line_dedup, media, mixing, near_dedup, neighbours, pieces, pii, repeats, sharding, toxicity, url_filter
 from traceloom.llm.common import table
 
 
@@ -61,6 +61,21 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    placed = sharding.place(docs, keep=["doc_id", "text_crc32"])
+    return placed.select("row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
@@ -73,8 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_neighbours": op9_neighbours,
         "op10_repeats": op10_repeats,
+        "op11_sharding": op11_sharding,
+        "op12_alignment": op12_alignment,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op5_url_filters": url_filter.ORACLE, "op7_mixing": mixing.ORACLE, "op13_divergence": divergence.ORACLE}
