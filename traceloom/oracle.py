@@ -155,6 +155,12 @@ QUERIES = {
     "html_table_rows": "SELECT CAST(id AS BIGINT) AS id, CAST(place AS INTEGER) AS place, serial, unit, context_value, serial AS material_sn FROM (VALUES (0), (1)) a(id), (VALUES (0, 'A1', 'x & y', 'c77'), (1, 'B2', NULL, NULL)) b(place, serial, unit, context_value)",
     "html_labels": "SELECT CAST(id AS BIGINT) AS id, CASE WHEN id < 2 THEN 'late part' END AS type, CASE WHEN id < 2 THEN '9f' ELSE '' END AS parts, 'a b' AS linked FROM (VALUES (0), (1), (2)) a(id)",
     "html_extract": "SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(coalesce(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ''), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href=')) AS BIGINT) AS links FROM pages",
+    "dated_rows": "SELECT HISTROYID, SPEC, strftime(gstrs_date, '%Y-%m-%d') AS day, strftime(DATE '2024-01-03' + CAST(7 * ((gstrs_date - DATE '2024-01-03') // 7) AS INTEGER), '%Y-%m-%d') AS asked_from FROM stations WHERE event_id % 2 = 0 AND gstrs_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27'",
+    "dated_rows_of_order": "SELECT HISTROYID, AUFNR FROM stations WHERE event_id % 2 = 1 AND nz(AUFNR) = '71'",
+    "export_newest_first": "SELECT HISTROYID || chr(9) || PCODE || chr(9) || SPEC_TIME AS line FROM stations WHERE LINE_CODE = 'LINE2' AND gstrs_date <= DATE '2024-01-20'",
+    "store_upsert_rows": "SELECT c.order_id, coalesce(s.VBELN, k.VBELN) AS VBELN, coalesce(s.KID, k.KID) AS KID, CASE WHEN action = 'insert' THEN '2026-02-01' ELSE '2026-01-01' END AS first_seen, CASE WHEN action IN ('insert', 'update') THEN '2026-02-01' ELSE '2026-01-01' END AS last_synced, CAST(CASE action WHEN 'update' THEN 2 ELSE 1 END AS INTEGER) AS sync_count FROM classes c LEFT JOIN snap s ON c.order_id = s.order_id LEFT JOIN kept k ON c.order_id = k.order_id",
+    "store_partial_upsert": "SELECT coalesce(k.order_id, s.order_id) AS order_id, coalesce(s.VBELN, k.VBELN) AS VBELN, coalesce(s.KID, k.KID) AS KID, CASE WHEN k.order_id IS NULL THEN '2026-02-01' ELSE '2026-01-01' END AS first_seen, CASE WHEN s.order_id IS NOT NULL AND (k.order_id IS NULL OR s.KID != k.KID) THEN '2026-02-01' ELSE '2026-01-01' END AS last_synced, CAST(CASE WHEN k.order_id IS NOT NULL AND s.order_id IS NOT NULL AND s.KID != k.KID THEN 2 ELSE 1 END AS INTEGER) AS sync_count FROM (SELECT * FROM kept WHERE KID != 'K8') k FULL JOIN (SELECT * FROM snap WHERE KID IN ('K7', 'K107', 'K207')) s ON k.order_id = s.order_id",
+    "stream_upsert_latest": "SELECT 'P' || user_id AS PCODE, CAST(event_id AS VARCHAR) AS event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || lpad(CAST(event_id AS VARCHAR), 12, '0') AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }
 
 STATS = """count(*) AS total, CAST(sum(CASE WHEN ERROR_CODE != '' OR coalesce(ERROR_MSG, '') != '' THEN 1 ELSE 0 END) AS BIGINT) AS with_error, count(*) FILTER (coalesce(U_FIX, '') != '') AS with_person, count(*) FILTER (coalesce(MATNR, '') != '') AS with_material,

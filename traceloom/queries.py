@@ -13,7 +13,8 @@ from traceloom.functions import scalars as s
 from traceloom.operators import documents, incremental, mapping, read, reconcile, rollup, runs, stats
 from traceloom.plans import views as v
 from traceloom.plans.filters import Filter, predicate
-from traceloom.sources import html, roles, sinks
+from traceloom.sources import dated, export, html, roles, sinks
+from traceloom.sources.keyed import KeyedStore
 from traceloom.streaming import passes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -637,3 +638,66 @@ def html_table_rows(spark, d):
 def html_labels(spark, d):
     rows = _pages(spark).select("id", html.label_values(F.col("html"))["Type"].alias("type"), html.named_context(F.col("html"), "parts").alias("parts"))
     return rows.withColumn("linked", html.context_value(F.lit("go?contextValue=a%20b&x=1")))
+
+
+def _dated(spark, d, **options):
+    """Station passes as recorded answers of two sources, asked for by windows of days."""
+    root = _shared(spark)
+    rows = roles.stations(spark, d).select("HISTROYID", "SPEC", "AUFNR", "gstrs_date")
+    dated.record(rows, F.col("gstrs_date"), F.expr("CASE WHEN HISTROYID % 2 = 0 THEN 'SG' ELSE 'KK' END"), root)
+    spark.dataSource.register(dated.DatedRows)
+    return spark.read.format("dated_rows").schema("HISTROYID string, SPEC string, AUFNR string, gstrs_date date, asked_from date").options(url=root, **options).load()
+
+
+@query
+def dated_rows(spark, d):
+    rows = _dated(spark, d, source="SG", start="2024-01-03", end="2024-01-27")
+    return rows.select("HISTROYID", "SPEC", F.date_format("gstrs_date", "yyyy-MM-dd").alias("day"), F.date_format("asked_from", "yyyy-MM-dd").alias("asked_from"))
+
+
+@query
+def dated_rows_of_order(spark, d):
+    rows = _dated(spark, d, source="KK", start="2024-01-01", end="2024-01-31", most_days=str(dated.MOST_AD_HOC), order="0071")
+    return rows.select("HISTROYID", "AUFNR")
+
+
+@query
+def export_newest_first(spark, d):
+    root = f"{_shared(spark)}/export"
+    spark.dataSource.register(export.Export)
+    rows = roles.stations(spark, d).where(predicate(v.STATIONS, Filter({"station": "LINE2"}, last_day="2024-01-20")))
+    newest = rows.orderBy(*read.newest_first(v.STATIONS)).select("HISTROYID", "PCODE", "SPEC_TIME")
+    newest.write.format("export").options(path=root, labels="id,sn,time", limit=str(v.STATIONS.limit)).mode("append").save()
+    return spark.read.text(root).select(F.col("value").alias("line")).where("line != 'id\\tsn\\ttime'")
+
+
+@query
+def store_upsert_rows(spark, d):
+    snapshot, stored = _halves(spark, d)
+    store = KeyedStore(spark, _shared(spark), stored.schema, ["order_id"], buckets=8)
+    store.upsert(stored, "2026-01-01")
+    store.upsert(snapshot, "2026-02-01")
+    return store.read()
+
+
+@query
+def store_partial_upsert(spark, d):
+    """Each upsert after the first has the orders of one customer in a hundred; stale ones go by their keys."""
+    snapshot, stored = _halves(spark, d)
+    store = KeyedStore(spark, _shared(spark), stored.schema, ["order_id"], buckets=16)
+    store.upsert(stored, "2026-01-01")
+    store.upsert(snapshot.where("KID IN ('K7', 'K107', 'K207')"), "2026-02-01")
+    store.delete(stored.where("KID = 'K8'"))
+    store.vacuum()
+    return store.read()
+
+
+@query
+def stream_upsert_latest(spark, d):
+    root = _shared(spark)
+    parts = roles.table(spark, d, "events").selectExpr("concat('P', user_id) AS PCODE", "cast(event_id AS string) AS event_id", "event_type", "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), lpad(cast(event_id AS string), 12, '0')) AS at")
+    parts.repartition(4, F.col("event_id")).write.parquet(f"{root}/in")
+    store = KeyedStore(spark, f"{root}/store", parts.schema, ["PCODE"], order="at", buckets=8)
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    passes.upsert_available(stream, store, f"{root}/marks", "passes", "2026-01-01")
+    return store.read().select("PCODE", "event_id", "event_type", "at")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.sources.keyed import KeyedStore
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The event files in a folder (or matched by a pattern), as a stream."""
@@ -35,3 +37,15 @@ def run_available(rows: DataFrame, path: str, checkpoint: str, mode: str = "appe
 
         query = writer.outputMode(mode).foreachBatch(put).start()
     query.awaitTermination()
+
+
+def upsert_available(rows: DataFrame, store: KeyedStore, checkpoint: str, stream: str, now: str) -> None:
+    """Upsert what a stream has into a keyed store, batch by batch, and stop.
+
+    The store keeps the number of the stream's last batch: a batch that is run again, because the checkpoint wasn't written
+    after it, changes nothing. Late rows lose against stored ones if the store has an order.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        store.upsert(batch, now, stream, number)
+
+    rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(put).start().awaitTermination()
