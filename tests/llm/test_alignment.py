@@ -83,9 +83,9 @@ def test_words_are_as_whole_texts(tokenizers):
     for text in [t for t in TEXTS if t and "▁" not in t] + [t.replace("▁", "") or "x" for t in sample(400, 11)]:
         words = al.words_of(" " + text)
         assert "".join(words) == " " + text
-        a, b = tokenizers.encode(words)
-        assert [i for x in a for i in x] == tokenizers.a.encode(" " + text, add_special_tokens=False).ids
-        assert [i for x in b for i in x] == tokenizers.b.encode(text)
+        each = [tokenizers.encode(w) for w in words]
+        assert [i for a, _ in each for i in a] == tokenizers.a.encode(" " + text, add_special_tokens=False).ids
+        assert [i for _, b in each for i in b] == tokenizers.b.encode(text)
 
 
 def test_little_memory_gives_the_same(tokenizers, monkeypatch):
@@ -94,23 +94,19 @@ def test_little_memory_gives_the_same(tokenizers, monkeypatch):
     texts = sample(200, 2) + ["x" * 5000, "long word " + "y" * 9000]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
 
-    class Sent:
-        value = (np.zeros(0, np.int64),) * 3
-
     def run():
         al._words.clear()
+        encoded = list(al._encode(al.A_FILE, al.B_FILE)(iter([batch])))
         counts = Counter()
-        for out in al._count(al.A_FILE, al.B_FILE)(iter([batch.select([1])])):
+        for out in al._count(iter([b.select(["a_ids", "b_ids"]) for b in encoded])):
             for a, b, n in zip(*(c.to_pylist() for c in out.columns)):
                 counts[a, b] += n
-        return counts, [out.to_pylist() for out in al._score(al.A_FILE, al.B_FILE, Sent)(iter([batch]))]
+        return counts, [r for out in encoded for r in out.to_pylist()]
 
     counts, rows = run()
-    monkeypatch.setattr(al, "WORDS", 20)
-    monkeypatch.setattr(al, "TOGETHER", 500)
-    few_counts, few_rows = run()
-    flat = lambda parts: [r for p in parts for r in p]
-    assert counts == few_counts and flat(rows) == flat(few_rows)
+    for name, value in (("WORDS", 20), ("TOGETHER", 500), ("JOINED", 30), ("PAIRS", 10)):
+        monkeypatch.setattr(al, name, value)
+    assert run() == (counts, rows)
     assert counts == Counter(link for t in texts if (p := plain(tokenizers, t)) for link in p[3])
 
 

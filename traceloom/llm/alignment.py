@@ -15,7 +15,7 @@ How often a pair of ids is linked is counted in every task and summed by Spark.
 frequent pairs, at most ``HEAD`` of them whatever the corpus, are sent to all tasks; links with any other pair leave the
 tasks as rows and meet the counts by a shuffle. A rare pair has few rows, so no key of that shuffle is hot.
 
-The tokenizers' files are needed at the same path on every machine (or shipped with ``SparkContext.addFile``).
+Texts are encoded once: their links are written, then counted and scored from what is written. The tokenizers' files are needed at the same path on every machine (or shipped with ``SparkContext.addFile``).
 
 Cases: null and empty texts, and texts whose joined tokens of A or B aren't the blank and the text (say, with U+2581), have no
 tokens: zeros and an empty string, and they count nothing; very long texts and words are aligned whole; repeated rows count each time; ties for
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from traceloom.llm.common import stored
 
@@ -42,10 +42,16 @@ B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pairs of ids whose counts every task gets.
 HEAD = 1 << 18
 #: Words, and bytes of words, that a task remembers.
-WORDS = 300_000
+WORDS = 400_000
 WORD_BYTES = 1 << 25
-#: Bytes of texts that a task aligns together.
+#: Characters of words that are encoded as one text.
+JOINED = 1 << 16
+#: Characters of texts that a task aligns together.
 TOGETHER = 1 << 21
+#: Pairs of ids that a task counts before it hands them over.
+PAIRS = 1 << 20
+BLANK = "▁"
+LONGS = ("n_a", "n_b", "n_groups", "n_links")
 _WORD = re.compile(r"\s+\S*")
 _OPENERS = " \t\n"
 #: White space to one of the tokenizers, but not to Python.
@@ -71,14 +77,26 @@ class Tokenizers:
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(n[3:-1], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides. A word that doesn't begin with a blank gets one from B, which is taken away."""
-        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        b = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        blank = [self.b.piece_to_id("▁")]
-        return a, [blank if w == " " else ids if w[0] == " " else ids[1:] for w, ids in zip(words, b, strict=True)]
+        self.b_bytes = [bytes([int(n[3:-1], 16)]) if self.b.is_byte(i) else n.replace(BLANK, " ").encode() for i, n in enumerate(names)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both sides, of a text that begins with white space. One that doesn't begin with a blank gets one from B, which is taken away."""
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        if text == " ":
+            return a, [self.b.piece_to_id(BLANK)]
+        return a, self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+
+    def named(self, a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> list[str]:
+        """Each group as ``a1,a2|b1``."""
+        found, at_a, at_b = [], 0, 0
+        for to_a, to_b in zip(cut_a, cut_b, strict=True):
+            if to_a == at_a + 1 and to_b == at_b + 1:
+                found.append(f"{a[at_a]}|{b[at_b]}")
+            else:
+                found.append(f"{','.join(map(str, a[at_a:to_a]))}|{','.join(map(str, b[at_b:to_b]))}")
+            at_a, at_b = to_a, to_b
+        return found
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -125,13 +143,12 @@ class Ends:
         return np.flatnonzero(np.unpackbits(self.packed.view(np.uint8), bitorder="little"))
 
 
-def aligned(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def aligned(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """Of tokens that end at the given places (the byte after the last is ``size``): the number of A and of B tokens up to
-    each shared cut, and the A and the B token of each link."""
+    each shared cut, the A and the B token of each link, the cuts, and where the links' stretches of bytes end."""
     a, b = Ends(a_ends - 1, size), Ends(b_ends - 1, size)
-    cuts = (a & b).select() + 1
-    stretches = (a | b).select()
-    return a.rank(cuts), b.rank(cuts), a.rank(stretches), b.rank(stretches)
+    cuts, stretches = (a & b).select() + 1, (a | b).select()
+    return a.rank(cuts), b.rank(cuts), a.rank(stretches), b.rank(stretches), cuts, stretches
 
 
 class Words:
@@ -155,13 +172,16 @@ class Words:
         return len(self.place) > WORDS or self.bytes > WORD_BYTES
 
     def add(self, words: list[str]) -> None:
-        """Align new words, about ``TOGETHER`` bytes at once."""
+        """Align new words: the usual ones as one text, of about ``JOINED`` characters, the others one by one."""
         held: list[str] = []
         size = 0
         for word in words:
-            held.append(word)
-            size += len(word)
-            if size >= TOGETHER:
+            if not word[-1].isspace() and BLANK not in word and _ODD not in word:
+                held.append(word)
+                size += len(word)
+            else:
+                self._align([word])
+            if size >= JOINED:
                 self._align(held)
                 held, size = [], 0
         if held:
@@ -169,34 +189,37 @@ class Words:
 
     def _align(self, words: list[str]) -> None:
         t = self.tokenizers
-        a, b = t.encode(words)
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        ok = [b"".join(map(t.a_bytes.__getitem__, x)) == r == b"".join(map(t.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)]
-        a, b, sizes = ([x if good else empty for x, good in zip(xs, ok, strict=True)] for xs, empty in ((a, []), (b, []), ([len(r) for r in raw], 0)))
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        ids_a, ids_b = (np.array([i for x in xs for i in x], np.int64) for xs in (a, b))
-        ends_a, ends_b = (np.cumsum([len(of[i]) for i in ids.tolist()], dtype=np.int64) for of, ids in ((t.a_bytes, ids_a), (t.b_bytes, ids_b)))
-        total = sum(sizes)
-        cut_a, cut_b, link_a, link_b = aligned(ends_a, ends_b, total)
-        # words end at shared cuts, so ranks of cuts and of links tell where each word's end
-        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
-        groups_to = np.searchsorted(cut_a, last_a, "right")
-        links_to = np.searchsorted(link_a, last_a, "left")
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        named, at_a, at_b = [], 0, 0
-        for to_a, to_b in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-            named.append(f"{','.join(text_a[at_a:to_a])}|{','.join(text_b[at_b:to_b])}")
-            at_a, at_b = to_a, to_b
+        joined = "".join(words)
+        raw = joined.encode("utf-8", "surrogatepass")
+        a, b = t.encode(joined)
+        ok = b"".join(map(t.a_bytes.__getitem__, a)) == raw == b"".join(map(t.b_bytes.__getitem__, b))
+        if not ok and len(words) > 1:
+            for word in words:
+                self._align([word])
+            return
+        sizes = np.array([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in words], np.int64)
+        self.bytes += len(raw)
+        self.place.update(zip(words, range(len(self.groups), len(self.groups) + len(words)), strict=True))
+        self.valid = np.concatenate([self.valid, np.full(len(words), ok)])
+        if not ok:
+            self.groups.append("")
+            self.values = np.concatenate([self.values, np.zeros((1, 3), np.int64)])
+            self.ends = np.append(self.ends, self.ends[-1])
+            return
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        cut_a, cut_b, link_a, link_b, cuts, stretches = aligned(np.cumsum(t.a_sizes[ids_a]), np.cumsum(t.b_sizes[ids_b]), len(raw))
+        # a word ends at a shared cut
+        ends = np.cumsum(sizes)
+        groups_to, links_to = np.searchsorted(cuts, ends, "right"), np.searchsorted(stretches, ends, "left")
+        n_a, n_b = np.diff(cut_a[groups_to - 1], prepend=0), np.diff(cut_b[groups_to - 1], prepend=0)
+        named = t.named(a, b, cut_a.tolist(), cut_b.tolist())
         at = 0
-        for word, size, to in zip(words, map(len, raw), groups_to.tolist(), strict=True):
-            self.place[word] = len(self.groups)
-            self.groups.append(";".join(named[at:to]))
-            self.bytes += size
+        for to in groups_to.tolist():
+            self.groups.append(named[at] if to == at + 1 else ";".join(named[at:to]))
             at = to
         self.values = np.concatenate([self.values, np.stack([n_a, n_b, np.diff(groups_to, prepend=0)], axis=1)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + links_to])
         self.links = np.concatenate([self.links, ids_a[link_a] << 32 | ids_b[link_b]])
-        self.valid = np.concatenate([self.valid, np.array(ok, bool)])
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The places of the words of all texts, and where each text's end."""
@@ -204,8 +227,7 @@ class Words:
         ends = []
         for text in texts:
             if text:
-                words = words_of(" " + text)
-                every.extend(words)
+                every.extend(words_of(" " + text))
             ends.append(len(every))
         found = list(map(self.place.get, every))
         if None in found:
@@ -259,50 +281,68 @@ def _in_groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def _words_of_task(a_file: str, b_file: str) -> Words:
-    """The words that this worker remembers, also from tasks before."""
-    return _words.setdefault((a_file, b_file), Words(loaded(a_file, b_file)))
-
-
 def _spread(ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the links of the words ``which``, and how many each has."""
     start, n = ends[which], ends[which + 1] - ends[which]
     return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
 
 
-def _count(a_file: str, b_file: str):
-    """A task's function: (a_id, b_id, count) of its links."""
+def _encode(a_file: str, b_file: str):
+    """A task's function: each row with the values of its text, and its links as two lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words_of_task(a_file, b_file)
-        used = np.zeros(len(words.groups), np.int64)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            there = np.flatnonzero(used)
-            places, n = _spread(words.ends, there)
-            pairs, inverse = np.unique(words.links[places], return_inverse=True)
-            count = np.zeros(len(pairs), np.int64)
-            np.add.at(count, inverse, np.repeat(used[there], n))
-            yield pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(count)], ["a_id", "b_id", "count"])
-
+        words = _words.setdefault((a_file, b_file), Words(loaded(a_file, b_file)))
         for batch in batches:
-            for _, texts in _in_groups(batch.column(0)):
+            for first, texts in _in_groups(batch.column(1)):
                 if words.full():
-                    yield from out()
                     words.clear()
-                    used = np.zeros(0, np.int64)
-                places, _ = words.texts(texts)
-                now = np.bincount(places, minlength=len(words.groups))
-                now[: len(used)] += used
-                used = now
-        yield from out()
+                places, to = words.texts(texts)
+                values = sums(words.values[places], to)
+                links, n = _spread(words.ends, places)
+                pairs = words.links[links]
+                link_to = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], to])].astype(np.int32)
+                named, at, of = [], 0, words.groups.__getitem__
+                for end in to.tolist():
+                    named.append(hashlib.sha256(";".join(map(of, places[at:end].tolist())).encode()).hexdigest() if end > at else "")
+                    at = end
+                lists = [pa.ListArray.from_arrays(pa.array(link_to), pa.array(ids.astype(np.int32))) for ids in (pairs >> 32, pairs & 0xFFFFFFFF)]
+                longs = [*(values[:, i] for i in range(3)), np.diff(link_to).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *map(pa.array, longs), pa.array(named, pa.string()), *lists], ["row", *LONGS, "groups_sha256", "a_ids", "b_ids"])
 
     return run
 
 
-def pair_counts(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
+def _pairs(a_ids: pa.Array, b_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Links as pairs of ids, and where each row's end."""
+    to = np.cumsum(a_ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return a_ids.flatten().to_numpy().astype(np.int64) << 32 | b_ids.flatten().to_numpy(), to
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a_id, b_id, count) of the links of some batches."""
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        return pairs, np.bincount(at, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
+
+    def out() -> pa.RecordBatch:
+        pairs, n = added(held)
+        return pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["a_id", "b_id", "count"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for batch in batches:
+        held.append(np.unique(_pairs(*batch.columns)[0], return_counts=True))
+        if sum(len(p) for p, _ in held[1:]) > PAIRS:
+            held = [added(held)]
+        if len(held[0][0]) > PAIRS:
+            yield out()
+            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    yield out()
+
+
+def pair_counts(encoded: DataFrame) -> DataFrame:
     """(a_id, b_id, count, best) of each pair of ids that is linked; best: no A id has more links with that B id."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(a_file, b_file), "a_id int, b_id int, count long")
+    counted = encoded.select("a_ids", "b_ids").mapInArrow(_count, "a_id int, b_id int, count long")
     counts = stored(counted.groupBy("a_id", "b_id").agg(F.sum("count").alias("count")), "alignment-counts")
     # as many rows as B has ids
     highest = F.broadcast(counts.groupBy("b_id").agg(F.max("count").alias("highest")))
@@ -322,70 +362,44 @@ def _least_of_head(counts: DataFrame, head: int) -> int:
     return least
 
 
-def _score(a_file: str, b_file: str, head):
-    """A task's function: each row with the values of its text; links outside ``head`` are given as ``rest``."""
+def _score(head):
+    """A task's function: each row with (n_best, count_sum) of its links in ``head``, and its links with other pairs as ``rest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words_of_task(a_file, b_file)
         pairs, counts, best = head.value
-        known: dict[str, np.ndarray] = {"links": np.zeros((0, 2), np.int64), "sums": np.zeros((0, 2), np.int64)}
-
-        def valued() -> None:
-            """Of words that are new: is each link outside, and the sums (best, count) of those inside."""
-            done, n = len(known["links"]), len(known["sums"])
-            new = words.links[done:]
-            at = np.minimum(np.searchsorted(pairs, new), max(len(pairs) - 1, 0))
-            inside = pairs[at] == new if len(pairs) else np.zeros(len(new), bool)
-            links = np.zeros((len(new), 2), np.int64)
-            if len(pairs):
-                links[inside] = np.stack([best[at[inside]], counts[at[inside]]], axis=1)
-            known["outside"] = np.concatenate([known.get("outside", np.zeros(0, bool)), ~inside])
-            known["links"] = np.concatenate([known["links"], links])
-            known["sums"] = np.concatenate([known["sums"], sums(links, words.ends[n + 1 :] - done)])
-
         for batch in batches:
-            for first, texts in _in_groups(batch.column(1)):
-                if words.full():
-                    words.clear()
-                    known.clear()
-                    known |= {"links": np.zeros((0, 2), np.int64), "sums": np.zeros((0, 2), np.int64)}
-                places, to = words.texts(texts)
-                valued()
-                n_links = words.ends[places + 1] - words.ends[places]
-                found = sums(np.column_stack([words.values[places], n_links, known["sums"][places]]), to)
-                named, at = [], 0
-                for end in to.tolist():
-                    named.append(hashlib.sha256(";".join(map(words.groups.__getitem__, places[at:end].tolist())).encode()).hexdigest() if end > at else "")
-                    at = end
-                rest, ends = np.zeros(0, np.int64), np.zeros(len(to) + 1, np.int32)
-                if known["outside"].any():
-                    links, n = _spread(words.ends, places)
-                    outside = known["outside"][links]
-                    rest = words.links[links[outside]]
-                    ends[1:] = np.concatenate([[0], np.cumsum(outside)])[np.concatenate([[0], np.cumsum(n)])[to]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), *(pa.array(found[:, i]) for i in range(6)), pa.array(named), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest))],
-                    ["row", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rest"],
-                )
+            links, to = _pairs(batch.column("a_ids"), batch.column("b_ids"))
+            at = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
+            inside = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)
+            values = np.zeros((len(links), 2), np.int64)
+            if len(pairs):
+                values[inside] = np.stack([best[at[inside]], counts[at[inside]]], axis=1)
+            found = sums(values, to)
+            rest_to = np.concatenate([[0], np.cumsum(~inside)])[np.concatenate([[0], to])].astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(rest_to), pa.array(links[~inside]))
+            names = ["row", *LONGS, "groups_sha256"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found[:, 0]), pa.array(found[:, 1]), rest], [*names, "n_best", "count_sum", "rest"])
 
     return run
 
 
 def align(docs: DataFrame, keep: list[str] | None = None, a_file: str = A_FILE, b_file: str = B_FILE, head: int = HEAD) -> DataFrame:
     """(row, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of ``docs``, with the columns ``keep`` (all, if none are named) in ``row``."""
-    counts = stored(pair_counts(docs, a_file, b_file), "alignment-pairs")
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([rows.schema["row"], *(StructField(c, LongType()) for c in LONGS), StructField("groups_sha256", StringType())])
+    links = [StructField(c, ArrayType(IntegerType())) for c in ("a_ids", "b_ids")]
+    encoded = stored(rows.mapInArrow(_encode(a_file, b_file), StructType([*schema, *links])), "alignment-links", "zstd")
+    counts = stored(pair_counts(encoded), "alignment-pairs")
     pair = (F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("pair")
     least = _least_of_head(counts, head)
     # at most ``head`` rows
     frequent = counts.where(F.col("count") >= least).select(pair, "count", "best").toPandas().sort_values("pair")
     sent = docs.sparkSession.sparkContext.broadcast((frequent["pair"].to_numpy("int64"), frequent["count"].to_numpy("int64"), frequent["best"].to_numpy("int64")))
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
-    longs = [StructField(c, LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    schema = StructType([rows.schema["row"], *longs, StructField("groups_sha256", StringType()), StructField("rest", ArrayType(LongType()))])
-    scored = stored(rows.mapInArrow(_score(a_file, b_file, sent), schema), "alignment-rows")
+    more = [StructField("n_best", LongType()), StructField("count_sum", LongType()), StructField("rest", ArrayType(LongType()))]
+    scored = stored(encoded.mapInArrow(_score(sent), StructType([*schema, *more])), "alignment-rows")
     # a written row is known by its file and place
     placed = scored.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("nth")).alias("at"))
     rare = counts.where(F.col("count") < least).select(pair, "count", F.col("best").cast("long").alias("best"))
     added = placed.select("at", F.explode("rest").alias("pair")).join(rare, "pair").groupBy("at").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
     plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
-    return placed.join(added, "at", "left").select("row", "n_a", "n_b", "n_groups", "n_links", plus("n_best", "best"), plus("count_sum", "count"), "groups_sha256")
+    return placed.join(added, "at", "left").select("row", *LONGS, plus("n_best", "best"), plus("count_sum", "count"), "groups_sha256")
