@@ -104,7 +104,7 @@ def test_little_memory_gives_the_same(tokenizers, monkeypatch):
         return counts, [r for out in encoded for r in out.to_pylist()]
 
     counts, rows = run()
-    for name, value in (("WORDS", 20), ("TOGETHER", 500), ("JOINED", 30), ("PAIRS", 10)):
+    for name, value in (("WORDS", 20), ("TOGETHER", 500), ("JOINED", 30), ("PAIRS", 10), ("LINKS", 7)):
         monkeypatch.setattr(al, name, value)
     assert run() == (counts, rows)
     assert counts == Counter(link for t in texts if (p := plain(tokenizers, t)) for link in p[3])

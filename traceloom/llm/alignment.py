@@ -42,14 +42,15 @@ B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pairs of ids whose counts every task gets.
 HEAD = 1 << 18
 #: Words, and bytes of words, that a task remembers.
-WORDS = 400_000
+WORDS = 250_000
 WORD_BYTES = 1 << 25
 #: Characters of words that are encoded as one text.
 JOINED = 1 << 16
 #: Characters of texts that a task aligns together.
 TOGETHER = 1 << 21
-#: Pairs of ids that a task counts before it hands them over.
-PAIRS = 1 << 20
+#: Links that a task looks up together, and pairs of ids that it counts before it hands them over.
+LINKS = 1 << 19
+PAIRS = 1 << 19
 BLANK = "▁"
 LONGS = ("n_a", "n_b", "n_groups", "n_links")
 _WORD = re.compile(r"\s+\S*")
@@ -318,6 +319,13 @@ def _pairs(a_ids: pa.Array, b_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return a_ids.flatten().to_numpy().astype(np.int64) << 32 | b_ids.flatten().to_numpy(), to
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``LINKS`` links each."""
+    to = np.cumsum(batch.column("a_ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = np.unique(np.concatenate([[0], np.searchsorted(to, np.arange(LINKS, (to[-1] if len(to) else 0) + 1, LINKS)) + 1, [len(to)]]))
+    yield from (batch.slice(first, last - first) for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if last <= len(to))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a_id, b_id, count) of the links of some batches."""
 
@@ -330,7 +338,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["a_id", "b_id", "count"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole)):
         held.append(np.unique(_pairs(*batch.columns)[0], return_counts=True))
         if sum(len(p) for p, _ in held[1:]) > PAIRS:
             held = [added(held)]
@@ -367,7 +375,7 @@ def _score(head):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, best = head.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             links, to = _pairs(batch.column("a_ids"), batch.column("b_ids"))
             at = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
             inside = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)
