@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SALES_WIDTH, PRODUCTION_WIDTH = 10, 12
 TRUE_TEXTS = ("1", "true", "yes", "y", "是")
 FALSE_TEXTS = ("0", "false", "no", "n", "否")
-TIME_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyyMMddHHmmss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss")
+TIME_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyyMMddHHmmss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm")
 DATE_LAYOUTS = ("yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd")
 COMPANY_PREFIX = "XNC"
 

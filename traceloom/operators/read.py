@@ -118,3 +118,46 @@ def normal_repair(rows: DataFrame) -> DataFrame:
         "repair_id", first_text("PCODE").alias("host_barcode"), first_text("ERROR_CODE", "ZGZMS").alias("fault_code"), first_text("ERROR_MSG", "RPDESC").alias("fault_text"),
         norm_order("VBELN").alias("sales_order"), norm_order("AUFNR").alias("production_order"), F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("repaired_at"),
     )
+
+
+def comes_after(order: list[tuple[str, bool]], place: dict) -> Column:
+    """The row comes after ``place`` in the order of (column, descending); nulls come last where it descends, and first where not.
+
+    Only plain comparisons, with the first column's bound apart, so that the scan can skip what comes before.
+    """
+    def behind(c: str, down: bool) -> Column:
+        value = place[c]
+        if value is None:
+            return F.lit(False) if down else F.col(c).isNotNull()
+        return (F.col(c) < F.lit(value)) | F.col(c).isNull() if down else F.col(c) > F.lit(value)
+
+    found, same = F.lit(False), F.lit(True)
+    for c, down in order:
+        found = found | (same & behind(c, down))
+        same = same & (F.col(c).isNull() if place[c] is None else F.col(c).eqNullSafe(F.lit(place[c])))
+    first, down = order[0]
+    value = place[first]
+    if value is None:
+        return found & F.col(first).isNull() if down else found
+    return found & ((F.col(first) <= F.lit(value)) | F.col(first).isNull() if down else F.col(first) >= F.lit(value))
+
+
+def seek(rows: DataFrame, order: list[tuple[str, bool]], place: dict | None = None, size: int = PAGE) -> DataFrame:
+    """The ``size`` rows after ``place`` (the last row of the page before; none for the first page).
+
+    The order must end with a unique key. However deep the page, a task keeps ``size`` rows at most and none is sorted that comes before the place.
+    """
+    ordered = [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
+    found = rows if place is None else rows.where(comes_after(order, place))
+    return found.orderBy(*ordered).limit(size)
+
+
+def seek_page(rows: DataFrame, view: View, wanted: Filter, place: dict | None = None, size: int = PAGE) -> DataFrame:
+    """As ``page``, but after the last row of the page before, instead of by its number."""
+    return seek(rows.where(predicate(view, wanted)), [(c, True) for c in dict.fromkeys([*view.sort, view.key])], place, size if 1 <= size <= MOST_PAGE else PAGE)
+
+
+def place_of(page: DataFrame, order: list[str]) -> dict | None:
+    """The place of a page's last row; None if it has none. A page is small."""
+    found = page.select(*order).tail(1)
+    return found[0].asDict() if found else None

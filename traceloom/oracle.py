@@ -49,6 +49,20 @@ DATASETS = {
     "odocs": """SELECT o_orderkey AS k, 'SG:' || o_orderkey AS order_id, CASE WHEN o_orderkey % 19 != 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS vbeln, 'K' || (o_custkey % 300) AS kid, o_orderpriority AS model, 'L' || (o_orderkey % 7) AS lgort, strftime(o_orderdate, '%Y%m%d') AS gstrs,
         CASE WHEN o_orderkey % 7 = 0 THEN '' END AS d_shipped, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d') WHEN 2 THEN 'soon' END AS d_wadat, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 20 DAY, '%Y-%m-%d') END AS t_shipped,
         CASE WHEN o_orderkey % 5 IN (0, 1) THEN CAST(o_orderdate AS DATE) END AS wadat_day, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate + INTERVAL 20 DAY AS DATE) END AS shipped_day FROM orders""",
+    "versions": """SELECT event_id, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 17 != 0 THEN user_id || '/' || event_type END AS i, strftime(ts, '%Y%m%d%H%M%S') AS synced, ts >= TIMESTAMP '2024-01-05' AS covered, CAST(event_id % 3 AS VARCHAR) AS digest FROM events""",
+    "fresh": """SELECT i, arg_max(digest, event_id) AS digest FROM versions WHERE event_id % 5 = 0 AND i IS NOT NULL GROUP BY 1""",
+    "ranked": """SELECT *, row_number() OVER (PARTITION BY i ORDER BY event_id % 2 = 0 DESC, synced DESC, id DESC) AS nth FROM versions WHERE event_id % 3 != 1""",
+    "named": """SELECT i, string_agg(n, ',' ORDER BY n) AS aliases FROM (SELECT i, id AS n FROM ranked WHERE i IS NOT NULL UNION SELECT i, 'old-' || event_id FROM ranked WHERE i IS NOT NULL AND event_id % 4 = 0) GROUP BY 1""",
+    "reconciled": """SELECT coalesce(f.i, b.i) AS i, b.id, CASE WHEN b.id IS NULL THEN 'insert' WHEN b.digest != f.digest THEN 'update' ELSE 'unchanged' END AS action, b.id IS NOT NULL AND b.event_id % 2 != 0 AS relinked, coalesce(n.aliases, '') AS aliases, true AS covered
+        FROM fresh f LEFT JOIN (SELECT * FROM ranked WHERE nth = 1 AND i IS NOT NULL) b ON f.i = b.i LEFT JOIN named n ON f.i = n.i
+        UNION ALL SELECT i, id, 'superseded', false, '', true FROM ranked WHERE nth > 1 AND i IN (SELECT i FROM fresh)
+        UNION ALL SELECT i, id, CASE WHEN covered THEN 'stale' ELSE 'outside' END, false, CASE WHEN event_id % 4 = 0 THEN 'old-' || event_id ELSE '' END, covered FROM ranked WHERE i IS NULL OR i NOT IN (SELECT i FROM fresh)""",
+    "piece": """SELECT CASE WHEN l_partkey % 5 = 0 THEN 'context:X' || l_suppkey ELSE 'product:P' || (l_partkey % 700) END AS device, 'D' || o_orderkey AS doa_code, 'X' || l_suppkey AS context, o_orderkey % 6 IN (0, 1) AS is_company, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS doa_so, CASE WHEN l_partkey % 4 != 0 THEN lpad(CAST(l_suppkey AS VARCHAR), 10, '0') END AS so,
+        lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS po, CASE WHEN l_partkey % 5 != 0 THEN 'P' || (l_partkey % 700) END AS barcode, 'M' || l_partkey AS material_sn, CASE WHEN l_partkey % 3 != 0 THEN 'MD' || (l_partkey % 1400 // 700) END AS model,
+        CASE WHEN l_linenumber = 5 THEN '2026-02-30' WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber = 3 THEN strftime(l_shipdate, '%Y%m%d') ELSE strftime(l_shipdate, '%Y-%m-%d') END AS fp, CASE WHEN l_linenumber NOT IN (4, 5) THEN strftime(l_shipdate, '%Y-%m-%d') END AS fday,
+        CASE WHEN l_linenumber = 6 THEN 'soon' END AS we, CASE WHEN l_partkey % 700 % 3 = 1 THEN '2027-03-01' WHEN l_partkey % 700 % 3 = 2 AND l_linenumber < 3 THEN '2027-03-01' WHEN l_partkey % 700 % 3 = 2 THEN '2027-04-01' END AS wday FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "said": """SELECT device, any_value(sales) AS sales, any_value(production) AS production, any_value(model) AS models, any_value(factory) AS factory, any_value(fbad) AS fbad, any_value(warranty) AS warranty, any_value(wbad) AS wbad FROM (SELECT device, list_sort(list(DISTINCT so) FILTER (so IS NOT NULL)) AS sales, list_sort(list(DISTINCT po)) AS production, list_sort(list(DISTINCT model) FILTER (model IS NOT NULL)) AS model,
+        list_sort(list(DISTINCT fday) FILTER (fday IS NOT NULL)) AS factory, list_sort(list(DISTINCT fp) FILTER (fp = '2026-02-30')) AS fbad, list_sort(list(DISTINCT wday) FILTER (wday IS NOT NULL)) AS warranty, list_sort(list(DISTINCT we) FILTER (we IS NOT NULL)) AS wbad FROM piece GROUP BY device) GROUP BY device""",
     "runs": """SELECT user_id || '-' || strftime(ts, '%Y-%m-%d %H') AS run_id, strftime(ts, '%Y-%m-%d %H') AS started, user_id, event_id, event_type AS task, CASE WHEN value > 12 THEN 'failed' ELSE 'success' END AS state, ts FROM events""",
 }
 
@@ -161,6 +175,23 @@ QUERIES = {
     "store_upsert_rows": "SELECT c.order_id, coalesce(s.VBELN, k.VBELN) AS VBELN, coalesce(s.KID, k.KID) AS KID, CASE WHEN action = 'insert' THEN '2026-02-01' ELSE '2026-01-01' END AS first_seen, CASE WHEN action IN ('insert', 'update') THEN '2026-02-01' ELSE '2026-01-01' END AS last_synced, CAST(CASE action WHEN 'update' THEN 2 ELSE 1 END AS INTEGER) AS sync_count FROM classes c LEFT JOIN snap s ON c.order_id = s.order_id LEFT JOIN kept k ON c.order_id = k.order_id",
     "store_partial_upsert": "SELECT coalesce(k.order_id, s.order_id) AS order_id, coalesce(s.VBELN, k.VBELN) AS VBELN, coalesce(s.KID, k.KID) AS KID, CASE WHEN k.order_id IS NULL THEN '2026-02-01' ELSE '2026-01-01' END AS first_seen, CASE WHEN s.order_id IS NOT NULL AND (k.order_id IS NULL OR s.KID != k.KID) THEN '2026-02-01' ELSE '2026-01-01' END AS last_synced, CAST(CASE WHEN k.order_id IS NOT NULL AND s.order_id IS NOT NULL AND s.KID != k.KID THEN 2 ELSE 1 END AS INTEGER) AS sync_count FROM (SELECT * FROM kept WHERE KID != 'K8') k FULL JOIN (SELECT * FROM snap WHERE KID IN ('K7', 'K107', 'K207')) s ON k.order_id = s.order_id",
     "stream_upsert_latest": "SELECT 'P' || user_id AS PCODE, CAST(event_id AS VARCHAR) AS event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || lpad(CAST(event_id AS VARCHAR), 12, '0') AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "orders_seek_page": "SELECT order_id, VBELN, GSTRS, order_quantity FROM ords WHERE source = 'SG' ORDER BY gstrs_date DESC, last_synced_at DESC, order_id DESC LIMIT 37 OFFSET 74",
+    "repairs_seek_nulls": "SELECT repair_id, VBELN, ERROR_MSG FROM repairs ORDER BY VBELN ASC NULLS FIRST, ERROR_MSG DESC NULLS LAST, repair_id LIMIT 90 OFFSET 90",
+    "snapshot_canonical_plan": """SELECT coalesce(i, '') AS identity, coalesce(id, '') AS id, action, relinked, aliases, covered FROM reconciled""",
+    "snapshot_run_counts": """SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (relinked) AS relinked, count(*) FILTER (action IN ('stale', 'superseded')) AS deleted,
+        count(*) FILTER (action IN ('insert', 'update', 'unchanged')) AS covered, count(*) FILTER (action = 'outside') AS outside FROM reconciled""",
+    "snapshot_deletes": "SELECT id FROM reconciled WHERE action IN ('stale', 'superseded')",
+    "relinked_references": """SELECT e.event_id AS change_id, coalesce(b.id, CASE WHEN e.event_id % 8 = 0 THEN 'old-' || e.event_id ELSE CAST(e.event_id AS VARCHAR) END) AS repair FROM events e
+        LEFT JOIN ranked r ON CAST(e.event_id AS VARCHAR) = r.id AND r.i IN (SELECT i FROM fresh) LEFT JOIN (SELECT i, id FROM ranked WHERE nth = 1) b ON r.i = b.i WHERE e.event_id % 3 != 1""",
+    "device_documents": "SELECT {device_fields} FROM piece JOIN said USING (device) GROUP BY device",
+    "device_documents_matching": "SELECT {device_fields} FROM piece JOIN said USING (device) GROUP BY device HAVING bool_or(is_company AND material_sn = 'M77')",
+    "device_document_page": "SELECT {device_fields} FROM piece JOIN said USING (device) GROUP BY device ORDER BY device LIMIT 30 OFFSET 30",
+    "device_relations": "SELECT device, relation, count(*) AS n FROM (SELECT device, 'sales_order:' || CASE WHEN so IS NULL THEN 'missing' WHEN so = doa_so THEN 'same' ELSE 'different' END AS relation FROM piece UNION ALL SELECT device, 'serial:' || CASE WHEN barcode IS NULL THEN 'missing' ELSE 'different' END FROM piece) GROUP BY 1, 2",
+    "stored_repair_stats": "SELECT {stats} FROM repairs WHERE gstrs_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-10'",
+    "stored_orders_date_range": "SELECT order_id, GSTRS FROM ords WHERE gstrs_date BETWEEN DATE '1996-06-01' AND DATE '1997-03-01'",
+    "stored_company_semi": "SELECT repair_id, AUFNR FROM repairs WHERE coalesce(AUFNR, '') != '' AND nz(AUFNR) IN (SELECT nz(AUFNR) FROM ords)",
+    "stored_company_anti": "SELECT repair_id, AUFNR FROM repairs WHERE coalesce(AUFNR, '') = '' OR nz(AUFNR) NOT IN (SELECT nz(AUFNR) FROM ords)",
+    "stored_sales_of_repairs": "SELECT repair_id, coalesce(nz(p.value), '') AS found FROM repairs r LEFT JOIN prodmap p ON coalesce(r.AUFNR, '') != '' AND nz(r.AUFNR) = p.key",
 }
 
 STATS = """count(*) AS total, CAST(sum(CASE WHEN ERROR_CODE != '' OR coalesce(ERROR_MSG, '') != '' THEN 1 ELSE 0 END) AS BIGINT) AS with_error, count(*) FILTER (coalesce(U_FIX, '') != '') AS with_person, count(*) FILTER (coalesce(MATNR, '') != '') AS with_material,
@@ -168,6 +199,21 @@ STATS = """count(*) AS total, CAST(sum(CASE WHEN ERROR_CODE != '' OR coalesce(ER
     count(DISTINCT nullif(nz(VBELN), '')) AS sales_orders, count(DISTINCT nullif(nz(AUFNR), '')) AS production_orders, count(DISTINCT PCODE) AS hosts, min(ZDATE_WX) AS first_day, max(ZDATE_WX) AS last_day"""
 
 
+def _field(name: str, good: str, bad: str = "NULL") -> str:
+    """Status, value and texts of a device's field, from lists of its values and of its invalid texts."""
+    n, m = f"coalesce(len(any_value({good})), 0)", f"coalesce(len(any_value({bad})), 0)" if bad != "NULL" else "0"
+    texts = f"concat_ws(',', nullif(array_to_string(any_value({good}), ','), ''), {'NULL' if bad == 'NULL' else f"nullif(array_to_string(any_value({bad}), ','), '')"})"
+    return f"CASE WHEN {n} > 1 THEN 'conflict' WHEN {m} > 0 THEN 'invalid' WHEN {n} = 0 THEN 'missing' ELSE 'valid' END AS {name}_status, CASE WHEN {n} = 1 AND {m} = 0 THEN any_value({good})[1] ELSE '' END AS {name}, {texts} AS {name}_texts"
+
+
+#: The columns of a device document.
+DEVICE = ", ".join([
+    "device, CASE WHEN device LIKE 'product:%' THEN 'product_barcode' ELSE 'product_context' END AS basis, count(*) AS n_pieces",
+    """md5(string_agg(line, ';' ORDER BY line)) AS pieces""".replace("line", "(doa_code || '|' || context || '|' || coalesce(so, '') || '|' || CASE WHEN so IS NULL THEN 'missing' WHEN so = doa_so THEN 'same' ELSE 'different' END || '|' || CASE WHEN barcode IS NULL THEN 'missing' ELSE 'different' END || '|' || coalesce(fp, ''))"),
+    _field("sales_order", "sales"), _field("production_order", "production"), _field("model", "models"), _field("factory_date", "factory", "fbad"), _field("warranty_end", "warranty", "wbad"),
+])
+
+
 def _zeros_off(sql: str) -> str:
     """``nz(x)`` written out: a trimmed number without leading zeros."""
     return re.sub(r"\bnz\(([\w.]+)\)", r"CASE WHEN regexp_full_match(trim(\1), '[0-9]+') THEN coalesce(nullif(ltrim(trim(\1), '0'), ''), '0') ELSE trim(\1) END", sql)
@@ -185,4 +231,4 @@ def _with_datasets(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _zeros_off(_with_datasets(sql.replace("{stats}", STATS))) for name, sql in QUERIES.items()}
+    return {name: _zeros_off(_with_datasets(sql.replace("{stats}", STATS).replace("{device_fields}", DEVICE))) for name, sql in QUERIES.items()}

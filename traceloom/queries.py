@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions import scalars as s
-from traceloom.operators import documents, incremental, mapping, read, reconcile, rollup, runs, stats
+from traceloom.operators import devices, documents, identity, incremental, mapping, read, reconcile, rollup, runs, stats
 from traceloom.plans import views as v
 from traceloom.plans.filters import Filter, predicate
-from traceloom.sources import dated, export, html, roles, sinks
+from traceloom.sources import dated, export, html, layout, roles, sinks
 from traceloom.sources.keyed import KeyedStore
 from traceloom.streaming import passes
 
@@ -701,3 +701,121 @@ def stream_upsert_latest(spark, d):
     stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     passes.upsert_available(stream, store, f"{root}/marks", "passes", "2026-01-01")
     return store.read().select("PCODE", "event_id", "event_type", "at")
+
+
+@query
+def orders_seek_page(spark, d):
+    rows, wanted, place = roles.orders(spark, d), Filter({"source": "SG"}), None
+    for _ in range(2):
+        place = read.place_of(read.seek_page(rows, v.ORDERS, wanted, place, 37), list(v.ORDERS.sort))
+    return read.seek_page(rows, v.ORDERS, wanted, place, 37).select("order_id", "VBELN", "GSTRS", "order_quantity")
+
+
+@query
+def repairs_seek_nulls(spark, d):
+    """The second page in an order that goes up and down, over nulls."""
+    rows, order = roles.repairs(spark, d), [("VBELN", False), ("ERROR_MSG", True), ("repair_id", False)]
+    first = read.seek(rows, order, size=90)
+    return read.seek(rows, order, read.place_of(first, [c for c, _ in order]), 90).select("repair_id", "VBELN", "ERROR_MSG")
+
+
+def _versions(spark, d):
+    """Stored repairs of which several have one identity, and a snapshot with one row an identity."""
+    rows = roles.table(spark, d, "events").selectExpr(
+        "cast(event_id AS string) AS id", "CASE WHEN event_id % 17 != 0 THEN concat_ws('/', user_id, event_type) END AS identity", "event_id", "date_format(ts, 'yyyyMMddHHmmss') AS synced", "ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AS covered",
+        "cast(event_id % 3 AS string) AS digest", "CASE WHEN event_id % 4 = 0 THEN array(concat('old-', event_id)) END AS aliases",
+    )
+    stored = rows.where("event_id % 3 != 1").withColumn("stored_identity", F.when(F.col("event_id") % 2 == 0, F.col("identity")))
+    snapshot = rows.where("event_id % 5 = 0 AND identity IS NOT NULL").groupBy("identity").agg(F.max_by("digest", "event_id").alias("digest"))
+    return snapshot, stored
+
+
+@query
+def snapshot_canonical_plan(spark, d):
+    plan = identity.reconciled(*_versions(spark, d))
+    return plan.select(F.coalesce("identity", F.lit("")).alias("identity"), F.coalesce("id", F.lit("")).alias("id"), "action", "relinked", F.coalesce(F.array_join("aliases", ","), F.lit("")).alias("aliases"), "covered")
+
+
+@query
+def snapshot_run_counts(spark, d):
+    return identity.run_counts(identity.reconciled(*_versions(spark, d)))
+
+
+@query
+def snapshot_deletes(spark, d):
+    snapshot, stored = _versions(spark, d)
+    plan = identity.reconciled(snapshot, stored)
+    written = plan.where("action IN ('insert', 'update', 'unchanged')").select("identity")
+    return identity.deletable(written, snapshot, plan, override=True)
+
+
+@query
+def relinked_references(spark, d):
+    """References by any former id, as changes of parts name repairs."""
+    snapshot, stored = _versions(spark, d)
+    named = roles.table(spark, d, "events").where("event_id % 3 != 1").selectExpr("event_id AS change_id", "CASE WHEN event_id % 8 = 0 THEN concat('old-', event_id) ELSE cast(event_id AS string) END AS repair")
+    return identity.relinked_references(named, identity.reconciled(snapshot, stored), "repair").select("change_id", "repair")
+
+
+def _documents(found):
+    piece = lambda e: F.concat_ws("|", e["doa_code"], F.coalesce(e["context"], F.lit("")), F.coalesce(e["sales_order"], F.lit("")), e["sales_order_relation"], e["serial_relation"], F.coalesce(e["factory_product"], F.lit("")))
+    fields = [x for name in devices.FIELDS for x in (F.col(f"{name}.status").alias(f"{name}_status"), F.coalesce(f"{name}.value", F.lit("")).alias(name), F.concat_ws(",", f"{name}.candidates", f"{name}.invalid").alias(f"{name}_texts"))]
+    return found.select("device", "basis", "n_pieces", F.md5(F.array_join(F.array_sort(F.transform("evidence", piece)), ";").cast("binary")).alias("pieces"), *fields)
+
+
+@query
+def device_documents(spark, d):
+    return _documents(devices.documents(devices.pieces(roles.declarations(spark, d))))
+
+
+@query
+def device_documents_matching(spark, d):
+    found = devices.pieces(roles.declarations(spark, d))
+    return _documents(devices.documents(found, devices.DeviceFilter(company="yes", serial="M77")))
+
+
+@query
+def device_document_page(spark, d):
+    found = devices.documents(devices.pieces(roles.declarations(spark, d)))
+    first = read.seek(found.select("device", "basis"), [("device", False)], size=30)
+    return _documents(read.seek(found, [("device", False)], read.place_of(first, ["device"]), 30))
+
+
+@query
+def device_relations(spark, d):
+    return devices.document_relations(devices.pieces(roles.declarations(spark, d)))
+
+
+def _stored_repairs(spark, d):
+    return layout.ingest(roles.repairs(spark, d), _shared(spark), "repairs", "gstrs_date", {"order_key": "AUFNR", "sales_key": "VBELN"}, "order_key")
+
+
+def _stored_orders(spark, d):
+    return layout.ingest(roles.orders(spark, d), _shared(spark), "orders", "gstrs_date", {"order_key": "AUFNR", "sales_key": "VBELN"}, "order_key")
+
+
+@query
+def stored_repair_stats(spark, d):
+    return stats.repair_stats(_stored_repairs(spark, d).where(layout.in_months("gstrs_date", DAYS.first_day, DAYS.last_day)))
+
+
+@query
+def stored_orders_date_range(spark, d):
+    return _stored_orders(spark, d).where(layout.in_months("gstrs_date", "1996-06-01", "1997-03-01")).select("order_id", "GSTRS")
+
+
+@query
+def stored_company_semi(spark, d):
+    return layout.on_board(_stored_repairs(spark, d), _stored_orders(spark, d), "order_key", True).select("repair_id", "AUFNR")
+
+
+@query
+def stored_company_anti(spark, d):
+    return layout.on_board(_stored_repairs(spark, d), _stored_orders(spark, d), "order_key", False).select("repair_id", "AUFNR")
+
+
+@query
+def stored_sales_of_repairs(spark, d):
+    """Repairs with the only sales order of their order, joined bucket by bucket."""
+    only = layout.only_value(_stored_orders(spark, d), "order_key", "sales_key").withColumnRenamed("sales_key", "found")
+    return _stored_repairs(spark, d).join(only, "order_key", "left").select("repair_id", F.coalesce("found", F.lit("")).alias("found"))

@@ -132,7 +132,10 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         "struct(CASE WHEN l_partkey % 5 = 0 THEN '' ELSE concat('P', l_partkey % 700) END AS product, concat('M', l_partkey) AS material_sn, concat('X', l_suppkey) AS context_value,"
         " CASE WHEN l_linenumber = 5 THEN '2026-02-30' WHEN l_linenumber = 4 THEN '' WHEN l_linenumber = 3 THEN date_format(l_shipdate, 'yyyyMMdd') ELSE date_format(l_shipdate, 'yyyy-MM-dd') END AS factory_date,"
-        " lpad(cast(l_orderkey AS string), 12, '0') AS production_order) AS part",
+        " lpad(cast(l_orderkey AS string), 12, '0') AS production_order,"
+        " CASE WHEN l_partkey % 4 = 0 THEN ' ' ELSE lpad(cast(l_suppkey AS string), 10, '0') END AS sales_order, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE concat('MD', l_partkey % 1400 DIV 700) END AS model,"
+        " CASE WHEN l_linenumber = 2 THEN date_format(l_shipdate, 'yyyy/MM/dd') END AS factory_equipment, CASE WHEN l_linenumber = 6 THEN 'soon' END AS warranty_equipment,"
+        " CASE WHEN l_partkey % 700 % 3 = 1 THEN '2027-03-01' WHEN l_partkey % 700 % 3 = 2 AND l_linenumber < 3 THEN '20270301' WHEN l_partkey % 700 % 3 = 2 THEN '2027-04-01T08:00:00+08:00' END AS warranty_product) AS part",
     )
     equipment = parts.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("part")).alias("equipment"))
     return heads.join(equipment, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("o_orderkey", "l_orderkey")
