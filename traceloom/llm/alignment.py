@@ -11,11 +11,11 @@ Both tokenizers always cut where white space begins after other characters, if i
 bytes). So texts are aligned in such words, each once per task as long as it is remembered (``WORDS``, ``WORD_BYTES``), and a text's
 values are sums over its words; other white space stays within a word. A test holds that against whole texts.
 
-How often a pair of ids is linked is counted in every task and summed by Spark. The counts come back in two ways: those of the most
-frequent pairs, at most ``HEAD`` of them whatever the corpus, are sent to all tasks; links with any other pair leave the
-tasks as rows and meet the counts by a shuffle. A rare pair has few rows, so no key of that shuffle is hot.
+Links are written as rows' lists of pairs of ids, then counted and looked up by Spark. Pairs meet their counts in two ways: the most
+frequent ones, at most ``HEAD`` whatever the corpus, by a broadcast; links with any other pair by a shuffle. A rare pair has few
+links, so no key of that shuffle is hot.
 
-Texts are encoded once: their links are written, then counted and scored from what is written. The tokenizers' files are needed at the same path on every machine (or shipped with ``SparkContext.addFile``).
+Texts are encoded once. The tokenizers' files are needed at the same path on every machine (or shipped with ``SparkContext.addFile``).
 
 Cases: null and empty texts, and texts whose joined tokens of A or B aren't the blank and the text (say, with U+2581), have no
 tokens: zeros and an empty string, and they count nothing; very long texts and words are aligned whole; repeated rows count each time; ties for
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from traceloom.llm.common import stored
 
@@ -48,9 +48,6 @@ WORD_BYTES = 1 << 25
 JOINED = 1 << 16
 #: Characters of texts that a task aligns together.
 TOGETHER = 1 << 21
-#: Links that a task looks up together, and pairs of ids that it counts before it hands them over.
-LINKS = 1 << 19
-PAIRS = 1 << 19
 BLANK = "▁"
 LONGS = ("n_a", "n_b", "n_groups", "n_links")
 _WORD = re.compile(r"\s+\S*")
@@ -265,9 +262,6 @@ def sums(values: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.diff(run[to], axis=0, prepend=run[:1])
 
 
-_words: dict[tuple[str, str], Words] = {}
-
-
 def _in_groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(place of the first, texts), about ``TOGETHER`` characters at once."""
     held: list[str] = []
@@ -289,10 +283,10 @@ def _spread(ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _encode(a_file: str, b_file: str):
-    """A task's function: each row with the values of its text, and its links as two lists."""
+    """A task's function: each row with the values of its text, and its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.setdefault((a_file, b_file), Words(loaded(a_file, b_file)))
+        words = Words(loaded(a_file, b_file))
         for batch in batches:
             for first, texts in _in_groups(batch.column(1)):
                 if words.full():
@@ -300,61 +294,25 @@ def _encode(a_file: str, b_file: str):
                 places, to = words.texts(texts)
                 values = sums(words.values[places], to)
                 links, n = _spread(words.ends, places)
-                pairs = words.links[links]
                 link_to = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], to])].astype(np.int32)
                 named, at, of = [], 0, words.groups.__getitem__
                 for end in to.tolist():
                     named.append(hashlib.sha256(";".join(map(of, places[at:end].tolist())).encode()).hexdigest() if end > at else "")
                     at = end
-                lists = [pa.ListArray.from_arrays(pa.array(link_to), pa.array(ids.astype(np.int32))) for ids in (pairs >> 32, pairs & 0xFFFFFFFF)]
                 longs = [*(values[:, i] for i in range(3)), np.diff(link_to).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *map(pa.array, longs), pa.array(named, pa.string()), *lists], ["row", *LONGS, "groups_sha256", "a_ids", "b_ids"])
+                pairs = pa.ListArray.from_arrays(pa.array(link_to), pa.array(words.links[links]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *map(pa.array, longs), pa.array(named, pa.string()), pairs], ["row", *LONGS, "groups_sha256", "links"])
 
     return run
 
 
-def _pairs(a_ids: pa.Array, b_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Links as pairs of ids, and where each row's end."""
-    to = np.cumsum(a_ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    return a_ids.flatten().to_numpy().astype(np.int64) << 32 | b_ids.flatten().to_numpy(), to
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``LINKS`` links each."""
-    to = np.cumsum(batch.column("a_ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    edges = np.unique(np.concatenate([[0], np.searchsorted(to, np.arange(LINKS, (to[-1] if len(to) else 0) + 1, LINKS)) + 1, [len(to)]]))
-    yield from (batch.slice(first, last - first) for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if last <= len(to))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a_id, b_id, count) of the links of some batches."""
-
-    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-        return pairs, np.bincount(at, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
-
-    def out() -> pa.RecordBatch:
-        pairs, n = added(held)
-        return pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["a_id", "b_id", "count"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for batch in (part for whole in batches for part in _slices(whole)):
-        held.append(np.unique(_pairs(*batch.columns)[0], return_counts=True))
-        if sum(len(p) for p, _ in held[1:]) > PAIRS:
-            held = [added(held)]
-        if len(held[0][0]) > PAIRS:
-            yield out()
-            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    yield out()
-
-
 def pair_counts(encoded: DataFrame) -> DataFrame:
-    """(a_id, b_id, count, best) of each pair of ids that is linked; best: no A id has more links with that B id."""
-    counted = encoded.select("a_ids", "b_ids").mapInArrow(_count, "a_id int, b_id int, count long")
-    counts = stored(counted.groupBy("a_id", "b_id").agg(F.sum("count").alias("count")), "alignment-counts")
+    """(pair, count, best) of each pair of ids that is linked; best: no A id has more links with that B id. Stored."""
+    counts = stored(encoded.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("count")), "alignment-counts")
+    b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     # as many rows as B has ids
-    highest = F.broadcast(counts.groupBy("b_id").agg(F.max("count").alias("highest")))
-    return counts.join(highest, "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("highest")).alias("best"))
+    highest = F.broadcast(counts.groupBy(b_id.alias("b_id")).agg(F.max("count").alias("highest")))
+    return stored(counts.join(highest, b_id == F.col("b_id")).select("pair", "count", (F.col("count") == F.col("highest")).cast("long").alias("best")), "alignment-pairs")
 
 
 def _least_of_head(counts: DataFrame, head: int) -> int:
@@ -370,44 +328,23 @@ def _least_of_head(counts: DataFrame, head: int) -> int:
     return least
 
 
-def _score(head):
-    """A task's function: each row with (n_best, count_sum) of its links in ``head``, and its links with other pairs as ``rest``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, counts, best = head.value
-        for batch in (part for whole in batches for part in _slices(whole)):
-            links, to = _pairs(batch.column("a_ids"), batch.column("b_ids"))
-            at = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
-            inside = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)
-            values = np.zeros((len(links), 2), np.int64)
-            if len(pairs):
-                values[inside] = np.stack([best[at[inside]], counts[at[inside]]], axis=1)
-            found = sums(values, to)
-            rest_to = np.concatenate([[0], np.cumsum(~inside)])[np.concatenate([[0], to])].astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(rest_to), pa.array(links[~inside]))
-            names = ["row", *LONGS, "groups_sha256"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found[:, 0]), pa.array(found[:, 1]), rest], [*names, "n_best", "count_sum", "rest"])
-
-    return run
-
-
 def align(docs: DataFrame, keep: list[str] | None = None, a_file: str = A_FILE, b_file: str = B_FILE, head: int = HEAD) -> DataFrame:
     """(row, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of ``docs``, with the columns ``keep`` (all, if none are named) in ``row``."""
     rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = StructType([rows.schema["row"], *(StructField(c, LongType()) for c in LONGS), StructField("groups_sha256", StringType())])
-    links = [StructField(c, ArrayType(IntegerType())) for c in ("a_ids", "b_ids")]
-    encoded = stored(rows.mapInArrow(_encode(a_file, b_file), StructType([*schema, *links])), "alignment-links", "zstd")
-    counts = stored(pair_counts(encoded), "alignment-pairs")
-    pair = (F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("pair")
+    longs = [StructField(c, LongType()) for c in LONGS]
+    schema = StructType([rows.schema["row"], *longs, StructField("groups_sha256", StringType()), StructField("links", ArrayType(LongType()))])
+    encoded = stored(rows.mapInArrow(_encode(a_file, b_file), schema), "alignment-links", "zstd")
+    counts = pair_counts(encoded)
     least = _least_of_head(counts, head)
     # at most ``head`` rows
-    frequent = counts.where(F.col("count") >= least).select(pair, "count", "best").toPandas().sort_values("pair")
-    sent = docs.sparkSession.sparkContext.broadcast((frequent["pair"].to_numpy("int64"), frequent["count"].to_numpy("int64"), frequent["best"].to_numpy("int64")))
-    more = [StructField("n_best", LongType()), StructField("count_sum", LongType()), StructField("rest", ArrayType(LongType()))]
-    scored = stored(encoded.mapInArrow(_score(sent), StructType([*schema, *more])), "alignment-rows")
+    frequent = F.broadcast(counts.where(F.col("count") >= least))
+    rare = counts.where(F.col("count") < least)
     # a written row is known by its file and place
-    placed = scored.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("nth")).alias("at"))
-    rare = counts.where(F.col("count") < least).select(pair, "count", F.col("best").cast("long").alias("best"))
-    added = placed.select("at", F.explode("rest").alias("pair")).join(rare, "pair").groupBy("at").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
-    plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
-    return placed.join(added, "at", "left").select("row", *LONGS, plus("n_best", "best"), plus("count_sum", "count"), "groups_sha256")
+    placed = encoded.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    links = placed.select("file", "nth", F.explode("links").alias("pair"))
+    found = links.join(frequent, "pair")
+    if not rare.isEmpty():
+        found = found.unionByName(links.join(frequent, "pair", "left_anti").join(rare, "pair"))
+    added = found.groupBy("file", "nth").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return placed.join(added, ["file", "nth"], "left").select("row", *LONGS, zero("n_best"), zero("count_sum"), "groups_sha256")
