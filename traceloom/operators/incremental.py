@@ -38,6 +38,13 @@ def day_windows(spark: SparkSession, first: str, last: str, days: int) -> DataFr
     return spark.range(1).select(starts).withColumn("last_day", F.least(F.date_add("first_day", days - 1), F.lit(last).cast("date")))
 
 
+def windows_of(rows: DataFrame, day: str, days: int) -> DataFrame:
+    """(first_day, last_day) of windows over the days that the rows have; none without rows."""
+    ends = rows.agg(F.min(day).alias("first"), F.max(day).alias("last")).where("first IS NOT NULL")
+    starts = F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {int(days)} DAYS"))).alias("first_day")
+    return ends.select("last", starts).select("first_day", F.least(F.date_add("first_day", days - 1), "last").alias("last_day"))
+
+
 def retry_queue(rows: DataFrame, pending: str, attempted: str, key: str, limit: int) -> DataFrame:
     """The rows to try again, longest waiting first; those never tried come before."""
     return rows.where(pending).orderBy(F.col(attempted).asc_nulls_first(), key).limit(limit)

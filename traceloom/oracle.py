@@ -63,6 +63,7 @@ DATASETS = {
         CASE WHEN l_linenumber = 6 THEN 'soon' END AS we, CASE WHEN l_partkey % 700 % 3 = 1 THEN '2027-03-01' WHEN l_partkey % 700 % 3 = 2 AND l_linenumber < 3 THEN '2027-03-01' WHEN l_partkey % 700 % 3 = 2 THEN '2027-04-01' END AS wday FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "said": """SELECT device, any_value(sales) AS sales, any_value(production) AS production, any_value(model) AS models, any_value(factory) AS factory, any_value(fbad) AS fbad, any_value(warranty) AS warranty, any_value(wbad) AS wbad FROM (SELECT device, list_sort(list(DISTINCT so) FILTER (so IS NOT NULL)) AS sales, list_sort(list(DISTINCT po)) AS production, list_sort(list(DISTINCT model) FILTER (model IS NOT NULL)) AS model,
         list_sort(list(DISTINCT fday) FILTER (fday IS NOT NULL)) AS factory, list_sort(list(DISTINCT fp) FILTER (fp = '2026-02-30')) AS fbad, list_sort(list(DISTINCT wday) FILTER (wday IS NOT NULL)) AS warranty, list_sort(list(DISTINCT we) FILTER (we IS NOT NULL)) AS wbad FROM piece GROUP BY device) GROUP BY device""",
+    "listed": """SELECT o_orderkey AS page_id, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS nth FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "runs": """SELECT user_id || '-' || strftime(ts, '%Y-%m-%d %H') AS run_id, strftime(ts, '%Y-%m-%d %H') AS started, user_id, event_id, event_type AS task, CASE WHEN value > 12 THEN 'failed' ELSE 'success' END AS state, ts FROM events""",
 }
 
@@ -128,7 +129,6 @@ QUERIES = {
     "next_mark": "SELECT greatest('2024-01-05 00:00:00', strftime(max(synced_at), '%Y-%m-%d %H:%M:%S')) AS mark FROM stations",
     "tuple_cursor_range": "SELECT GSTRS, SPEC, HISTROYID FROM stations WHERE (GSTRS > '20240103' OR (GSTRS = '20240103' AND (SPEC > 'error' OR (SPEC = 'error' AND HISTROYID > '0000000000')))) AND (GSTRS < '20240106' OR (GSTRS = '20240106' AND (SPEC < 'click' OR (SPEC = 'click' AND HISTROYID <= '0000004000'))))",
     "tuple_cursor_next": "SELECT GSTRS, SPEC, HISTROYID FROM stations WHERE trim(AUFNR) IN (SELECT AUFNR FROM ords) ORDER BY GSTRS DESC, SPEC DESC, HISTROYID DESC LIMIT 1",
-    "date_windows": "SELECT strftime(d, '%Y-%m-%d') AS first_day, strftime(least(d + INTERVAL 6 DAY, TIMESTAMP '2026-03-01'), '%Y-%m-%d') AS last_day FROM generate_series(TIMESTAMP '2026-01-05', TIMESTAMP '2026-03-01', INTERVAL 7 DAY) AS t(d)",
     "rolling_window_bounds": "SELECT strftime(g, '%Y-%m-%d') AS last, strftime(f, '%Y-%m-%d') AS first, f = date_trunc('month', f) AND g = last_day(f) AS is_month FROM (SELECT DISTINCT gstrs_date AS g, greatest(CAST(date_trunc('month', gstrs_date) - INTERVAL 2 MONTH AS DATE), DATE '1995-06-01') AS f FROM ords)",
     "business_key_hash": """SELECT repair_id, sha256('["' || PCODE || '","' || coalesce(AUFNR, '') || '","' || ZMCOD1 || '"]') AS business_key, sha256(PCODE || chr(31) || coalesce(VBELN, '') || chr(31) || MATNR) AS change_key FROM repairs""",
     "vendor_suffix_lookup": "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS vendor FROM lineitem WHERE l_partkey % 1000 = 77 AND l_suppkey % 10 != 0",
@@ -157,7 +157,6 @@ QUERIES = {
     "station_view_ids": "SELECT HISTROYID, HISTROYID AS id, CASE WHEN event_id % 5 = 0 THEN 'given' WHEN event_id % 4 = 0 THEN SPEC ELSE LINE_CODE END AS station_code FROM stations",
     "order_number_variants": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN k WHEN 1 THEN '00A' || k WHEN 2 THEN '0' WHEN 3 THEN '' END AS normal, CASE o_orderkey % 5 WHEN 0 THEN k WHEN 2 THEN '0' END AS station, CASE o_orderkey % 5 WHEN 0 THEN k WHEN 1 THEN 'A' || k WHEN 2 THEN '0' WHEN 3 THEN '' END AS bare, CASE o_orderkey % 5 WHEN 0 THEN k WHEN 1 THEN '00A' || k WHEN 2 THEN '0' ELSE '' END AS order_key FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders)",
     "conflict_samples": "SELECT CASE action WHEN 'insert' THEN 'missing' WHEN 'stale' THEN 'extra' ELSE 'field_mismatch' END AS kind, order_id FROM classes WHERE action != 'unchanged' ORDER BY 1, 2 LIMIT 20",
-    "clamped_windows": "SELECT strftime(d, '%Y-%m-%d') AS first_day, strftime(least(d + INTERVAL 30 DAY, TIMESTAMP '2026-12-31'), '%Y-%m-%d') AS last_day FROM generate_series(TIMESTAMP '2026-01-01', TIMESTAMP '2026-12-31', INTERVAL 31 DAY) AS t(d)",
     "committed_marks": "SELECT source, greatest(strftime(min(last_synced_at), '%Y-%m-%d'), '1997-01-01') AS mark FROM ords GROUP BY 1",
     "held_marks": "SELECT source, strftime(min(last_synced_at), '%Y-%m-%d') AS mark FROM ords GROUP BY 1",
     "rolling_snapshot": "SELECT coalesce(n.order_id, o.order_id) AS order_id, CASE WHEN o.order_id IS NULL THEN 'insert' WHEN n.order_id IS NULL THEN CASE WHEN o.gstrs_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' THEN 'stale' ELSE 'outside' END WHEN o.order_id LIKE '%5' THEN 'update' ELSE 'unchanged' END AS action FROM (SELECT * FROM ords WHERE gstrs_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND order_id NOT LIKE '%3') n FULL JOIN (SELECT * FROM ords WHERE order_id NOT LIKE '%4') o ON n.order_id = o.order_id",
@@ -166,8 +165,6 @@ QUERIES = {
     "bounded_station_count": "SELECT least(count(*), 501) AS counted, count(*) > 500 AS over FROM stations",
     "matching_devices": "SELECT DISTINCT 'D' || o_orderkey AS doa_code FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0 AND (l_partkey = 77 OR (l_partkey % 5 != 0 AND false))",
     "retired_versions": "SELECT CAST(CASE WHEN AUART = 'ZP01' THEN 1 ELSE 2 END AS INTEGER) AS version, count(*) AS rows FROM postings GROUP BY 1",
-    "html_table_rows": "SELECT CAST(id AS BIGINT) AS id, CAST(place AS INTEGER) AS place, serial, unit, context_value, serial AS material_sn FROM (VALUES (0), (1)) a(id), (VALUES (0, 'A1', 'x & y', 'c77'), (1, 'B2', NULL, NULL)) b(place, serial, unit, context_value)",
-    "html_labels": "SELECT CAST(id AS BIGINT) AS id, CASE WHEN id < 2 THEN 'late part' END AS type, CASE WHEN id < 2 THEN '9f' ELSE '' END AS parts, 'a b' AS linked FROM (VALUES (0), (1), (2)) a(id)",
     "html_extract": "SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(coalesce(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ''), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href=')) AS BIGINT) AS links FROM pages",
     "dated_rows": "SELECT HISTROYID, SPEC, strftime(gstrs_date, '%Y-%m-%d') AS day, strftime(DATE '2024-01-03' + CAST(7 * ((gstrs_date - DATE '2024-01-03') // 7) AS INTEGER), '%Y-%m-%d') AS asked_from FROM stations WHERE event_id % 2 = 0 AND gstrs_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27'",
     "dated_rows_of_order": "SELECT HISTROYID, AUFNR FROM stations WHERE event_id % 2 = 1 AND nz(AUFNR) = '71'",
@@ -192,6 +189,12 @@ QUERIES = {
     "stored_company_semi": "SELECT repair_id, AUFNR FROM repairs WHERE coalesce(AUFNR, '') != '' AND nz(AUFNR) IN (SELECT nz(AUFNR) FROM ords)",
     "stored_company_anti": "SELECT repair_id, AUFNR FROM repairs WHERE coalesce(AUFNR, '') = '' OR nz(AUFNR) NOT IN (SELECT nz(AUFNR) FROM ords)",
     "stored_sales_of_repairs": "SELECT repair_id, coalesce(nz(p.value), '') AS found FROM repairs r LEFT JOIN prodmap p ON coalesce(r.AUFNR, '') != '' AND nz(r.AUFNR) = p.key",
+    "html_table_rows": "SELECT page_id, CAST(nth AS INTEGER) AS place, 'M' || l_partkey AS serial, 'a & ' || l_linenumber || ' b' AS unit, 'c' || l_suppkey AS context_value, 'M' || l_partkey AS material_sn FROM listed",
+    "html_form_rows": "SELECT page_id, CAST(nth AS INTEGER) AS place, 'X' || l_suppkey AS context, 'c' || l_suppkey AS link_context, 'M' || l_partkey AS mtr_sn, 'a & ' || l_linenumber || ' b' AS unit, CAST(q AS VARCHAR) AS quantity FROM listed",
+    "html_labels": "SELECT o_orderkey AS page_id, o_orderstatus || ' part' AS type, CAST(o_custkey AS VARCHAR) AS parts FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
+    "html_page_links": "SELECT page_id, CAST(generate_subscripts(hs, 1) - 1 AS INTEGER) AS place, unnest(hs) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1) AS hs FROM pages)",
+    "date_windows": "SELECT strftime(d, '%Y-%m-%d') AS first_day, strftime(least(d + INTERVAL 6 DAY, b), '%Y-%m-%d') AS last_day FROM (SELECT unnest(generate_series(a, b, INTERVAL 7 DAY)) AS d, b FROM (SELECT CAST(min(gstrs_date) AS TIMESTAMP) AS a, CAST(max(gstrs_date) AS TIMESTAMP) AS b FROM stations))",
+    "clamped_windows": "SELECT strftime(d, '%Y-%m-%d') AS first_day, strftime(least(d + INTERVAL 30 DAY, b), '%Y-%m-%d') AS last_day FROM (SELECT unnest(generate_series(a, b, INTERVAL 31 DAY)) AS d, b FROM (SELECT greatest(CAST(min(gstrs_date) AS TIMESTAMP), TIMESTAMP '1997-01-01') AS a, least(CAST(max(gstrs_date) AS TIMESTAMP), TIMESTAMP '1997-12-31') AS b FROM ords))",
 }
 
 STATS = """count(*) AS total, CAST(sum(CASE WHEN ERROR_CODE != '' OR coalesce(ERROR_MSG, '') != '' THEN 1 ELSE 0 END) AS BIGINT) AS with_error, count(*) FILTER (coalesce(U_FIX, '') != '') AS with_person, count(*) FILTER (coalesce(MATNR, '') != '') AS with_material,

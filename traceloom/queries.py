@@ -363,7 +363,8 @@ def tuple_cursor_next(spark, d):
 
 @query
 def date_windows(spark, d):
-    return incremental.day_windows(spark, "2026-01-05", "2026-03-01", 7).select(F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), F.date_format("last_day", "yyyy-MM-dd").alias("last_day"))
+    windows = incremental.windows_of(roles.stations(spark, d), "gstrs_date", 7)
+    return windows.select(F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), F.date_format("last_day", "yyyy-MM-dd").alias("last_day"))
 
 
 @query
@@ -562,7 +563,8 @@ def conflict_samples(spark, d):
 
 @query
 def clamped_windows(spark, d):
-    first, last = s.clamped("20251130", "", 2026)
+    days = roles.orders(spark, d).agg(F.date_format(F.min("gstrs_date"), "yyyyMMdd"), F.date_format(F.max("gstrs_date"), "yyyy-MM-dd")).first()
+    first, last = s.clamped(days[0], days[1], 1997)
     return incremental.day_windows(spark, first, last, 31).select(F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"))
 
 
@@ -616,28 +618,28 @@ def retired_versions(spark, d):
     return sinks.retired(spark, root, apply=True)
 
 
-#: Pages as the service desk writes them.
-PAGE = (
-    "<form id='list'><table><tr><th name='mtr_sn'>Serial</th><th id='unit'>Unit</th></tr><tr><td> A1 </td><td>x &amp; y</td></tr><tr><td>B2</td><td></td></tr></table></form>"
-    "<a href='go?contextKey=so_sub_service_order&contextValue=c77'>1</a><table><tr><th>Type：</th><td>late  part</td></tr></table><script>{'pml': 'parts', u: 'x?contextValue=9f'}</script>"
-)
+@query
+def html_table_rows(spark, d):
+    pages = roles.service_pages(spark, d)
+    rows = pages.select("page_id", F.posexplode(html.equipment_rows(F.col("html"), "list", "so_sub_service_order")).alias("place", "r"))
+    named = html.aliased(F.col("r.fields"), {"serial": ["sn", "mtr_sn"], "unit": ["unit"]})
+    return rows.select("page_id", "place", *named, "r.context_value", "r.material_sn")
 
 
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.range(3).select("id", F.when(F.col("id") < 2, F.lit(PAGE)).otherwise(F.lit("<p>empty</p>")).alias("html"))
+@query
+def html_form_rows(spark, d):
+    rows = html.form_rows(roles.service_pages(spark, d), "html", "list", ["mtr_sn", "unit", "Qty"])
+    return rows.select("page_id", "place", "context", html.context_value(F.col("link")).alias("link_context"), "mtr_sn", "unit", F.col("Qty").alias("quantity"))
 
 
 @query
-def html_table_rows(spark, d):
-    rows = _pages(spark).select("id", F.posexplode(html.equipment_rows(F.col("html"), "list", "so_sub_service_order")).alias("place", "r"))
-    named = html.aliased(F.col("r.fields"), {"serial": ["sn", "mtr_sn"], "unit": ["unit"]})
-    return rows.select("id", "place", *named, "r.context_value", "r.material_sn")
+def html_labels(spark, d):
+    return roles.service_pages(spark, d).select("page_id", html.label_values(F.col("html"))["Type"].alias("type"), html.named_context(F.col("html"), "parts").alias("parts"))
 
 
 @query
-def html_labels(spark, d):
-    rows = _pages(spark).select("id", html.label_values(F.col("html"))["Type"].alias("type"), html.named_context(F.col("html"), "parts").alias("parts"))
-    return rows.withColumn("linked", html.context_value(F.lit("go?contextValue=a%20b&x=1")))
+def html_page_links(spark, d):
+    return html.page_links(roles.table(spark, d, "pages"), "html").select("page_id", "place", "href")
 
 
 def _dated(spark, d, **options):

@@ -9,8 +9,11 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 def squeezed(text: str | None) -> str:
@@ -18,59 +21,88 @@ def squeezed(text: str | None) -> str:
 
 
 class _Page(HTMLParser):
-    """Collects cells of rows inside one form (or anywhere), pairs of th and td, the title and the links."""
+    """Collects the rows of the table inside one form (or of all tables), pairs of th and td, the title and the links.
+
+    A form may hold forms; headers count inside the form's table only. A row has its cells, its ``value`` and the link of its first cell.
+    """
 
     def __init__(self, form: str | None):
         super().__init__(convert_charrefs=True)
-        self.form, self.inside = form, form is None
+        self.form, self.forms, self.tables = form, 0, 0
         self.headers: list[str] = []
-        self.rows: list[list[str]] = []
-        self.row: list[str] | None = None
+        self.rows: list[tuple[list[str], str, str]] = []
+        self.cells: list[str] = []
+        self.value = self.href = self.first_href = ""
         self.cell: list[str] | None = None
-        self.kind = self.label = ""
+        self.kind = self.label = self.name = ""
         self.pairs: dict[str, str] = {}
         self.title: list[str] | None = None
-        self.name, self.found_title, self.links = "", "", 0
+        self.found_title = ""
+        self.links: list[tuple[str, str]] = []
+        self.link: list[str] | None = None
+        self.has_table = False
+
+    def inside(self) -> bool:
+        return self.form is None or bool(self.forms)
 
     def handle_starttag(self, tag, attrs):
-        known = dict(attrs)
-        if tag == "form" and self.form is not None and known.get("id") == self.form:
-            self.inside = True
+        known = {k: v or "" for k, v in attrs}
+        if tag == "form" and self.form is not None and (self.forms or known.get("id") == self.form):
+            self.forms += 1
+        elif tag == "table" and self.inside():
+            self.tables, self.has_table = self.tables + 1, True
         elif tag == "title":
             self.title = []
         elif tag == "a" and known.get("href"):
-            self.links += 1
+            self.links.append((known["href"], ""))
+            self.link = []
+            self.href = known["href"]
         elif tag == "tr":
-            self.row = []
+            self.cells, self.value, self.first_href = [], known.get("value", ""), ""
         elif tag in ("th", "td"):
-            self.cell, self.kind, self.name = [], tag, known.get("name") or known.get("id") or ""
+            self.cell, self.kind, self.name, self.href = [], tag, known.get("name") or known.get("id") or "", ""
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-        if self.title is not None:
-            self.title.append(data)
+        for part in (self.cell, self.title, self.link):
+            if part is not None:
+                part.append(data)
 
     def handle_endtag(self, tag):
-        if tag == "form" and self.form is not None:
-            self.inside = False
+        if tag == "form" and self.forms:
+            self.forms -= 1
+        elif tag == "table" and self.inside():
+            self.tables = max(0, self.tables - 1)
         elif tag == "title" and self.title is not None:
             self.found_title, self.title = squeezed("".join(self.title)), None
+        elif tag == "a" and self.link is not None:
+            self.links[-1] = (self.links[-1][0], squeezed("".join(self.link)))
+            self.link = None
         elif tag in ("th", "td") and self.cell is not None:
             text = squeezed("".join(self.cell))
             if tag == "th":
                 self.label = text.rstrip(":：").strip()
-                if self.inside:
-                    self.headers.append(self.name or text)
-            elif self.label:
-                self.pairs[self.label], self.label = text, ""
-            if tag == "td" and self.row is not None:
-                self.row.append(text)
+                if self.inside() and self.tables and (self.name or text):
+                    self.headers.append(squeezed(self.name) or text)
+            else:
+                if self.label:
+                    self.pairs[self.label], self.label = text, ""
+                if not self.cells:
+                    self.first_href = self.href
+                self.cells.append(text)
             self.cell = None
         elif tag == "tr":
-            if self.row and self.inside:
-                self.rows.append(self.row)
-            self.row = None
+            if self.cells and self.inside():
+                self.rows.append((self.cells, self.value, self.first_href))
+            self.cells = []
+
+    def refused(self) -> bool:
+        """A page without the form's table or its headers, or with a row of too few cells, isn't an empty one: it is refused whole."""
+        return not self.has_table or not self.headers or any(len(cells) < len(self.headers) for cells, _, _ in self.rows)
 
 
 def parsed(html: str | None, form: str | None = None) -> _Page:
@@ -88,9 +120,9 @@ def table_rows(html: Column, form: str) -> Column:
         found = []
         for html in pages:
             page = parsed(html, form)
-            if any(len(r) < len(page.headers) for r in page.rows):
+            if page.has_table and page.refused():
                 raise ValueError(f"a row of form {form!r} has too few cells")
-            found.append([dict(zip(page.headers, r, strict=False)) for r in page.rows])
+            found.append([dict(zip(page.headers, cells, strict=False)) for cells, _, _ in page.rows])
         return pd.Series(found, dtype=object)
 
     return rows(html)
@@ -110,7 +142,7 @@ def title_and_links(html: Column) -> Column:
     @F.pandas_udf("struct<title:string,links:int>")
     def found(pages: pd.Series) -> pd.DataFrame:
         every = [parsed(h) for h in pages]
-        return pd.DataFrame({"title": [p.found_title for p in every], "links": [p.links for p in every]})
+        return pd.DataFrame({"title": [p.found_title for p in every], "links": [len(p.links) for p in every]})
 
     return found(html)
 
@@ -135,3 +167,47 @@ def equipment_rows(html: Column, form: str, key: str) -> Column:
 def aliased(row: Column, aliases: dict[str, list[str]]) -> list[Column]:
     """Canonical columns: the first alias in the map that isn't blank."""
     return [F.coalesce(*[F.nullif(F.trim(row[a]), F.lit("")) for a in names]).alias(name) for name, names in aliases.items()]
+
+
+@udtf
+class FormRows:
+    """``FormRows(html, form, columns)``: the rows of the table in a form, one a row of the page, joined laterally.
+
+    ``columns`` are the wanted headers, comma-joined, and become columns after place, context, link and ``refused``. A page that is refused gives one row with ``refused`` alone,
+    so that a caller can't take it for an empty one.
+    """
+
+    @staticmethod
+    def analyze(html: AnalyzeArgument, form: AnalyzeArgument, columns: AnalyzeArgument) -> AnalyzeResult:
+        if not (form.isConstantExpression and columns.isConstantExpression and columns.value):
+            raise ValueError("form and columns must be constants")
+        names = [StructField(c.strip(), StringType()) for c in columns.value.split(",")]
+        return AnalyzeResult(StructType([StructField("place", IntegerType()), StructField("context", StringType()), StructField("link", StringType()), StructField("refused", BooleanType()), *names]))
+
+    def eval(self, html, form, columns):
+        page, names = parsed(html, form), [c.strip() for c in columns.split(",")]
+        if page.refused() or any(n not in page.headers for n in names):
+            yield (None, None, None, True, *[None] * len(names))
+            return
+        for place, (cells, value, href) in enumerate(page.rows):
+            row = dict(zip(page.headers, cells, strict=False))
+            yield (place, value, href, False, *[row[n] for n in names])
+
+
+@udtf(returnType="place int, href string, text string")
+class PageLinks:
+    """``PageLinks(html)``: the links of a page in their order."""
+
+    def eval(self, html):
+        for place, (href, text) in enumerate(parsed(html).links):
+            yield place, href, text
+
+
+def form_rows(pages: DataFrame, html: str, form: str, columns: list[str]) -> DataFrame:
+    """The pages joined with the rows of their form's table; a refused page fails the read."""
+    joined = pages.lateralJoin(FormRows(F.col(html).outer(), F.lit(form), F.lit(",".join(columns))))
+    return joined.where(F.when(F.col("refused"), F.raise_error(F.lit(f"a page has no whole table in form {form}")).cast("boolean")).otherwise(True)).drop("refused")
+
+
+def page_links(pages: DataFrame, html: str) -> DataFrame:
+    return pages.lateralJoin(PageLinks(F.col(html).outer()))

@@ -150,4 +150,17 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def service_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One web page an order, as a service desk writes them: a list of its parts in a form, labels, and a script."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("quantity"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines")), F.col("o_orderkey") == F.col("l_orderkey"))
+    row = "concat('<tr value=\\'X', x.l_suppkey, '\\'><td><a href=\\'go?contextKey=so_sub_service_order&contextValue=c', x.l_suppkey, '\\'> M', x.l_partkey, '</a> </td><td>a &amp; ', x.l_linenumber, '<br/>b</td><td>', x.quantity, '</td></tr>')"
+    return orders.selectExpr(
+        "o_orderkey AS page_id",
+        "concat('<table><tr><th>Elsewhere</th></tr></table><form id=\\'list\\'><form id=\\'search\\'></form><table><tr><th name=\\'mtr_sn\\'>Serial</th><th id=\\'unit\\'>Unit</th><th>Qty</th></tr>',"
+        f" array_join(transform(lines, x -> {row}), ''),"
+        " '</table></form><table><tr><th>Type：</th><td> ', o_orderstatus, '  part</td></tr></table><script>{\\'pml\\': \\'parts\\', u: \\'x?contextValue=', o_custkey, '\\'}</script>') AS html",
+    )
+
+
 DATASETS = {"repairs": repairs, "orders": orders, "stations": stations, "postings": postings, "bindings": bindings, "declarations": declarations, "changes": changes}
