@@ -184,3 +184,14 @@ def test_a_bucket_has_one_file_a_month(boards):
     rows, _ = boards
     files = [f.rsplit("/", 2)[1:] for f in rows.inputFiles()]
     assert len(files) <= 4 * 4 and len({(m, f.split("_")[-1]) for m, f in files}) == len(files)
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "timestamp_seconds(1700000000 + id) AS synced_at", "repeat('x', 50) AS text")
+    layout.with_load_time(rows, "synced_at").write.parquet(f"file://{tmp_path}/rows")
+    found = layout.from_footers(spark, f"file://{tmp_path}/rows")
+    assert layout.version(found, "rows").collect()[0].version == "100:2023-11-14 22:14:59"
+    plan = plan_of(layout.version(found, "rows"))
+    assert "PushedAggregation: [COUNT(*), MAX(synced_us)]" in plan
+    assert "PushedAggregation" not in plan_of(layout.version(spark.read.parquet(f"file://{tmp_path}/rows"), "rows"))
+    assert tuple(layout.status(found.where("id < 0"), "rows").collect()[0]) == ("rows", 0, None)

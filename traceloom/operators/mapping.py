@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from traceloom.functions.scalars import blank, company_flag, norm_order, text
 
 
+def spread_key(key: Column, row_id: Column | str) -> Column:
+    """The key of the left side of a left join; rows without one get keys of their own, which meet nothing, so they aren't dealt to one place."""
+    return F.coalesce(text(key), F.concat(F.lit("\u0000"), F.col(row_id) if isinstance(row_id, str) else row_id))
+
+
 def unique_map(rows: DataFrame, key: Column, value: Column) -> DataFrame:
     """(key, value, candidates): how many different values a key has; the value only where it is one. Blanks take no part."""
     pairs = rows.select(key.alias("key"), text(value).alias("value")).where("key IS NOT NULL AND key != '' AND value IS NOT NULL")
@@ -44,7 +49,7 @@ def fill_stations(stations: DataFrame, orders: DataFrame) -> DataFrame:
     production = F.when(~blank("AUFNR"), norm_order("AUFNR"))
     to_sales = unique_map(orders, norm_order("AUFNR"), F.col("VBELN")).select(F.col("key").alias("by_production"), F.col("value").alias("sales_found"), F.col("candidates").alias("sales_candidates"))
     to_production = unique_map(orders, norm_order("VBELN"), F.col("AUFNR")).select(F.col("key").alias("by_sales"), F.col("value").alias("production_found"), F.col("candidates").alias("production_candidates"))
-    joined = stations.join(to_sales, production == F.col("by_production"), "left").join(to_production, F.when(~blank("KDAUF"), norm_order("KDAUF")) == F.col("by_sales"), "left")
+    joined = stations.join(to_sales, spread_key(production, "HISTROYID") == F.col("by_production"), "left").join(to_production, spread_key(norm_order("KDAUF"), "HISTROYID") == F.col("by_sales"), "left")
     action = (
         F.when(~blank("KDAUF") & F.col("by_sales").isNull(), "delete")
         .when(blank("KDAUF") & F.col("sales_found").isNotNull(), "fill_sales")
@@ -68,7 +73,7 @@ def planned_start(postings: DataFrame, orders: DataFrame) -> DataFrame:
     """
     first = unique_map(orders, norm_order("AUFNR"), F.col("gstrs_date")).select(F.col("key").alias("k1"), F.col("value").alias("v1"), F.col("candidates").alias("n1"))
     second = unique_map(orders, norm_order("VBELN"), F.col("gstrs_date")).select(F.col("key").alias("k2"), F.col("value").alias("v2"), F.col("candidates").alias("n2"))
-    joined = postings.join(first, norm_order("AUFNR_1") == F.col("k1"), "left").join(second, norm_order("VBELN_EX") == F.col("k2"), "left")
+    joined = postings.join(first, spread_key(norm_order("AUFNR_1"), "posting_id") == F.col("k1"), "left").join(second, spread_key(norm_order("VBELN_EX"), "posting_id") == F.col("k2"), "left")
     found = F.when(F.col("v1").isNotNull(), "production").when(F.col("v2").isNotNull(), "sales").when((F.col("n1") > 1) | (F.col("n2") > 1), "ambiguous").otherwise("unmatched")
     return joined.select("posting_id", F.coalesce("v1", "v2").alias("planned_start"), found.alias("found"))
 
@@ -102,13 +107,53 @@ def backfill_repairs(repairs: DataFrame, stations: DataFrame, orders: DataFrame,
         more = unique_map(external, F.trim("PCODE"), F.col("AUFNR")).select(F.col("key").alias("ke"), F.col("value").alias("ve"))
         rows = rows.join(more, F.col("PCODE") == F.col("ke"), "left").withColumn("AUFNR", F.when(F.col("AUFNR") == "", F.coalesce("ve", F.lit(""))).otherwise(F.col("AUFNR"))).drop("ke", "ve")
     board = unique_maps(orders, norm_order("AUFNR"), {"v1": F.col("VBELN"), "v2": F.col("gstrs_date")})
-    rows = rows.join(board, norm_order("AUFNR") == F.col("key"), "left")
+    rows = rows.join(board, spread_key(norm_order("AUFNR"), "repair_id") == F.col("key"), "left")
     return rows.select(
         "repair_id", "AUFNR", F.when(F.col("VBELN") == "", F.coalesce("v1", F.lit(""))).otherwise(F.col("VBELN")).alias("VBELN"),
         F.when(F.col("GSTRS") == "", F.coalesce("v2", F.lit(""))).otherwise(F.col("GSTRS")).alias("GSTRS"), "step",
     )
 
 
+def backfill_chain(repairs: DataFrame, stations: DataFrame, orders: DataFrame, external: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Repairs with orders filled step by step, and where each value comes from.
+
+    A blank order or sales order is filled by the serial number's only pair in ``stations``, else by its only pair among the repairs themselves, never against a production
+    order that is there (``conflict`` tells those that stations disagree with). A production order that is still blank comes from the first of the ``external`` sources (PCODE, AUFNR)
+    that has just one; then sales order and planned start from the order board. One source that can't be read fails the whole run, so nothing is written by halves.
+    """
+    trimmed = lambda c: F.coalesce(F.trim(c), F.lit("")).alias(c)
+    rows = repairs.select("repair_id", "PCODE", trimmed("AUFNR"), trimmed("VBELN"), trimmed("GSTRS")).withColumn("serial", spread_key(F.col("PCODE"), "repair_id"))
+    a = pairs_map(stations, "PCODE", "AUFNR", "KDAUF").select(F.col("key").alias("serial"), F.col("production").alias("pa"), F.col("sales").alias("sa"))
+    b = pairs_map(repairs, "PCODE", "AUFNR", "VBELN").select(F.col("key").alias("serial"), F.col("production").alias("pb"), F.col("sales").alias("sb"))
+    rows = rows.join(a, "serial", "left").join(b, "serial", "left")
+    same = lambda p: norm_order("AUFNR") == norm_order(p)
+    open_ = (F.col("AUFNR") == "") | (F.col("VBELN") == "")
+    fits = lambda p: F.coalesce(open_ & ((F.col("AUFNR") == "") | same(p)), F.lit(False))
+    step = F.when(fits("pa") & F.col("pa").isNotNull(), "stations").when(fits("pb") & F.col("pb").isNotNull(), "repairs").otherwise("")
+    conflict = F.coalesce(F.col("pa").isNotNull() & (F.col("AUFNR") != "") & ~same("pa"), F.lit(False))
+    rows = rows.withColumns({"step": step, "conflict": conflict})
+    pair = lambda kept, one, other: F.when(F.col(kept) != "", F.col(kept)).when(F.col("step") == "stations", F.col(one)).when(F.col("step") == "repairs", F.col(other)).otherwise("")
+    from_pair = lambda c: F.when((F.col(c) == "") & (F.col("step") != ""), F.col("step")).otherwise("")
+    rows = rows.select("repair_id", "serial", "GSTRS", "conflict", from_pair("AUFNR").alias("order_source"), from_pair("VBELN").alias("sales_source"), pair("AUFNR", "pa", "pb").alias("AUFNR"), pair("VBELN", "sa", "sb").alias("VBELN"))
+    for name, source in (external or {}).items():
+        only = unique_map(source, F.trim("PCODE"), F.col("AUFNR")).where("value IS NOT NULL").select(F.col("key").alias("serial"), "value")
+        found = (F.col("AUFNR") == "") & F.col("value").isNotNull()
+        rows = rows.join(only, "serial", "left").withColumns({"order_source": F.when(found, F.lit(name)).otherwise(F.col("order_source")), "AUFNR": F.when(found, F.col("value")).otherwise(F.col("AUFNR"))}).drop("value")
+    board = unique_maps(orders, norm_order("AUFNR"), {"board_sales": F.col("VBELN"), "board_start": F.col("gstrs_date")})
+    rows = rows.join(board, spread_key(norm_order("AUFNR"), "repair_id") == F.col("key"), "left")
+    lacks = lambda c, of: (F.col(c) == "") & F.col(of).isNotNull()
+    return rows.select(
+        "repair_id", "AUFNR", F.when(lacks("VBELN", "board_sales"), F.col("board_sales")).otherwise(F.col("VBELN")).alias("VBELN"), F.when(lacks("GSTRS", "board_start"), F.col("board_start")).otherwise(F.col("GSTRS")).alias("GSTRS"),
+        "order_source", F.when(lacks("VBELN", "board_sales"), "board").otherwise(F.col("sales_source")).alias("sales_source"), F.when(lacks("GSTRS", "board_start"), "board").otherwise("").alias("start_source"), "conflict",
+    )
+
+
+def backfill_counts(filled: DataFrame) -> DataFrame:
+    """(field, source, n): how many values each source filled, and how many repairs stations disagree with."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_source").alias("source")) for f in ("order", "sales", "start")], F.struct(F.lit("conflict").alias("field"), F.when(F.col("conflict"), "stations").otherwise("").alias("source")))
+    return filled.select(F.explode(fields).alias("f")).select("f.*").where("source != ''").groupBy("field", "source").agg(F.count("*").alias("n"))
+
+
 def change_flags(changes: DataFrame, declarations: DataFrame) -> DataFrame:
     """Changes with ``is_company``: whether a declaration of the company has the change's service order among its aliases."""
     own = declarations.where(company_flag(F.lit(None).cast("string"), F.col("service_uid")))

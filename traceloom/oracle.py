@@ -64,6 +64,23 @@ DATASETS = {
     "said": """SELECT device, any_value(sales) AS sales, any_value(production) AS production, any_value(model) AS models, any_value(factory) AS factory, any_value(fbad) AS fbad, any_value(warranty) AS warranty, any_value(wbad) AS wbad FROM (SELECT device, list_sort(list(DISTINCT so) FILTER (so IS NOT NULL)) AS sales, list_sort(list(DISTINCT po)) AS production, list_sort(list(DISTINCT model) FILTER (model IS NOT NULL)) AS model,
         list_sort(list(DISTINCT fday) FILTER (fday IS NOT NULL)) AS factory, list_sort(list(DISTINCT fp) FILTER (fp = '2026-02-30')) AS fbad, list_sort(list(DISTINCT wday) FILTER (wday IS NOT NULL)) AS warranty, list_sort(list(DISTINCT we) FILTER (we IS NOT NULL)) AS wbad FROM piece GROUP BY device) GROUP BY device""",
     "listed": """SELECT o_orderkey AS page_id, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS nth FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+    "attempt": """SELECT 'P' || user_id AS key, ts AS tm, value <= 15 AS ok, event_type AS digest, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events""",
+    "good": """SELECT *, lag(digest) OVER (PARTITION BY key ORDER BY n) AS was FROM attempt WHERE ok""",
+    "goods": """SELECT key, min(tm) AS first_seen, max(tm) FILTER (was IS NULL OR was != digest) AS last_change, arg_max(digest, n) AS digest, max(n) AS last_good FROM good GROUP BY key""",
+    "items": """SELECT a.key, coalesce(any_value(g.digest), '') AS digest, any_value(g.first_seen) AS first_seen, any_value(g.last_change) AS last_change, count(*) FILTER (a.n > coalesce(g.last_good, 0)) AS attempts, max(a.tm) AS attempted, count(*) AS seen FROM attempt a LEFT JOIN goods g ON a.key = g.key GROUP BY a.key""",
+    "srepairs": """SELECT CAST(event_id AS VARCHAR) AS repair_id, CASE WHEN event_id % 29 != 0 THEN user_id END AS u, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN CASE WHEN user_id % 2 = 0 THEN 'X' || user_id ELSE '' END ELSE lpad(CAST(user_id AS VARCHAR), 12, '0') END AS p,
+        CASE WHEN event_id % 4 != 3 THEN '' WHEN user_id % 6 = 3 THEN 'S' || user_id || (event_id % 3) ELSE 'S' || user_id END AS s, CASE WHEN event_id % 5 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS g FROM events""",
+    "spairs": """SELECT u, min(p) AS p, min(s) AS s FROM (SELECT user_id AS u, lpad(CAST(user_id + CASE WHEN user_id % 6 = 2 THEN event_id % 2 ELSE 0 END AS VARCHAR), 12, '0') AS p, 'S' || user_id AS s FROM events WHERE user_id % 6 NOT IN (3, 4)) GROUP BY 1 HAVING count(DISTINCT p) = 1""",
+    "rpairs": """SELECT u, min(p) AS p, min(s) AS s FROM srepairs WHERE u IS NOT NULL AND p != '' AND s != '' GROUP BY 1 HAVING count(DISTINCT p || '|' || s) = 1""",
+    "kk": """SELECT u, min(v) AS v FROM (SELECT user_id AS u, '0' || user_id || CASE WHEN user_id % 7 = 3 THEN CAST(event_id % 2 AS VARCHAR) ELSE '' END AS v FROM events WHERE user_id % 7 IN (0, 1, 3)) GROUP BY 1 HAVING count(DISTINCT v) = 1""",
+    "sg": """SELECT u, min(v) AS v FROM (SELECT user_id AS u, user_id || CASE WHEN user_id % 7 = 3 THEN CAST(event_id % 2 AS VARCHAR) ELSE '' END AS v FROM events WHERE user_id % 7 IN (1, 2, 3, 4)) GROUP BY 1 HAVING count(DISTINCT v) = 1""",
+    "filling": """SELECT repair_id, r.u, r.p, r.s, g, CASE WHEN (r.p = '' OR r.s = '') AND a.u IS NOT NULL AND (r.p = '' OR nz(r.p) = nz(a.p)) THEN 'stations' WHEN (r.p = '' OR r.s = '') AND b.u IS NOT NULL AND (r.p = '' OR nz(r.p) = nz(b.p)) THEN 'repairs' ELSE '' END AS step,
+        a.u IS NOT NULL AND r.p != '' AND nz(r.p) != nz(a.p) AS conflict, CASE step WHEN 'stations' THEN a.p WHEN 'repairs' THEN b.p ELSE '' END AS np, CASE step WHEN 'stations' THEN a.s WHEN 'repairs' THEN b.s ELSE '' END AS ns FROM srepairs r LEFT JOIN spairs a ON r.u = a.u LEFT JOIN rpairs b ON r.u = b.u""",
+    "backfilled": """SELECT repair_id, p2, CASE WHEN s1 = '' AND o.vb IS NOT NULL THEN o.vb ELSE s1 END AS s2, CASE WHEN g = '' AND o.gd IS NOT NULL THEN o.gd ELSE g END AS g2, order_source, CASE WHEN s1 = '' AND o.vb IS NOT NULL THEN 'board' WHEN s = '' AND step != '' THEN step ELSE '' END AS sales_source,
+        CASE WHEN g = '' AND o.gd IS NOT NULL THEN 'board' ELSE '' END AS start_source, conflict FROM (SELECT f.*, CASE WHEN p != '' THEN p WHEN np != '' THEN np ELSE coalesce(kk.v, sg.v, '') END AS p2, CASE WHEN s != '' THEN s ELSE ns END AS s1,
+        CASE WHEN p = '' AND step != '' THEN step WHEN p = '' AND kk.u IS NOT NULL THEN 'KK' WHEN p = '' AND sg.u IS NOT NULL THEN 'SG' ELSE '' END AS order_source FROM filling f LEFT JOIN kk ON f.u = kk.u LEFT JOIN sg ON f.u = sg.u) x
+        LEFT JOIN (SELECT nz(AUFNR) AS k, nullif(min(VBELN), '') AS vb, strftime(min(gstrs_date), '%Y-%m-%d') AS gd FROM ords GROUP BY 1) o ON x.p2 != '' AND nz(x.p2) = o.k""",
+    "passed": """SELECT GSTRS, SPEC, HISTROYID, AUFNR FROM stations WHERE trim(AUFNR) IN (SELECT AUFNR FROM ords WHERE ZSTAT = 'F')""",
     "runs": """SELECT user_id || '-' || strftime(ts, '%Y-%m-%d %H') AS run_id, strftime(ts, '%Y-%m-%d %H') AS started, user_id, event_id, event_type AS task, CASE WHEN value > 12 THEN 'failed' ELSE 'success' END AS state, ts FROM events""",
 }
 
@@ -195,6 +212,13 @@ QUERIES = {
     "html_page_links": "SELECT page_id, CAST(generate_subscripts(hs, 1) - 1 AS INTEGER) AS place, unnest(hs) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1) AS hs FROM pages)",
     "date_windows": "SELECT strftime(d, '%Y-%m-%d') AS first_day, strftime(least(d + INTERVAL 6 DAY, b), '%Y-%m-%d') AS last_day FROM (SELECT unnest(generate_series(a, b, INTERVAL 7 DAY)) AS d, b FROM (SELECT CAST(min(gstrs_date) AS TIMESTAMP) AS a, CAST(max(gstrs_date) AS TIMESTAMP) AS b FROM stations))",
     "clamped_windows": "SELECT strftime(d, '%Y-%m-%d') AS first_day, strftime(least(d + INTERVAL 30 DAY, b), '%Y-%m-%d') AS last_day FROM (SELECT unnest(generate_series(a, b, INTERVAL 31 DAY)) AS d, b FROM (SELECT greatest(CAST(min(gstrs_date) AS TIMESTAMP), TIMESTAMP '1997-01-01') AS a, least(CAST(max(gstrs_date) AS TIMESTAMP), TIMESTAMP '1997-12-31') AS b FROM ords))",
+    "export_version_footers": "SELECT 'repairs' AS dataset, count(*) || ':' || strftime(max(synced_at), '%Y-%m-%d %H:%M:%S') AS version FROM repairs",
+    "data_status_footers": "SELECT 'postings' AS dataset, count(*) AS rows, strftime(max(synced_at), '%Y-%m-%d %H:%M:%S') AS latest FROM postings",
+    "stream_item_states": "SELECT key, digest, coalesce(strftime(first_seen, '%Y-%m-%d %H:%M:%S.%f'), '') AS first_seen, coalesce(strftime(last_change, '%Y-%m-%d %H:%M:%S.%f'), '') AS last_change, attempts > 0 AS pending, CAST(attempts AS INTEGER) AS attempts, coalesce(strftime(attempted, '%Y-%m-%d %H:%M:%S.%f'), '') AS attempted, seen FROM items",
+    "stream_item_retries": "SELECT key, CAST(attempts AS INTEGER) AS attempts, coalesce(strftime(attempted, '%Y-%m-%d %H:%M:%S.%f'), '') AS attempted FROM items WHERE attempts > 0 ORDER BY items.attempted, key LIMIT 25",
+    "repair_backfill_steps": "SELECT repair_id, p2 AS AUFNR, s2 AS VBELN, g2 AS GSTRS, order_source, sales_source, start_source, conflict FROM backfilled",
+    "repair_backfill_counts": "SELECT field, source, count(*) AS n FROM (SELECT 'order' AS field, order_source AS source FROM backfilled UNION ALL SELECT 'sales', sales_source FROM backfilled UNION ALL SELECT 'start', start_source FROM backfilled UNION ALL SELECT 'conflict', CASE WHEN conflict THEN 'stations' ELSE '' END FROM backfilled) WHERE source != '' GROUP BY 1, 2",
+    "stream_cursor_rows": "SELECT GSTRS, SPEC, HISTROYID, AUFNR FROM passed WHERE GSTRS <= '20240112' UNION ALL SELECT GSTRS, SPEC, HISTROYID, AUFNR FROM passed WHERE GSTRS BETWEEN '20240110' AND '20240120' AND GSTRS || '/' || SPEC || '/' || HISTROYID > (SELECT max(GSTRS || '/' || SPEC || '/' || HISTROYID) FROM passed WHERE GSTRS <= '20240112')",
 }
 
 STATS = """count(*) AS total, CAST(sum(CASE WHEN ERROR_CODE != '' OR coalesce(ERROR_MSG, '') != '' THEN 1 ELSE 0 END) AS BIGINT) AS with_error, count(*) FILTER (coalesce(U_FIX, '') != '') AS with_person, count(*) FILTER (coalesce(MATNR, '') != '') AS with_material,

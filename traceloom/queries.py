@@ -13,9 +13,9 @@ from traceloom.functions import scalars as s
 from traceloom.operators import devices, documents, identity, incremental, mapping, read, reconcile, rollup, runs, stats
 from traceloom.plans import views as v
 from traceloom.plans.filters import Filter, predicate
-from traceloom.sources import dated, export, html, layout, roles, sinks
+from traceloom.sources import cursor, dated, export, html, layout, roles, sinks
 from traceloom.sources.keyed import KeyedStore
-from traceloom.streaming import passes
+from traceloom.streaming import items, passes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -821,3 +821,68 @@ def stored_sales_of_repairs(spark, d):
     """Repairs with the only sales order of their order, joined bucket by bucket."""
     only = layout.only_value(_stored_orders(spark, d), "order_key", "sales_key").withColumnRenamed("sales_key", "found")
     return _stored_repairs(spark, d).join(only, "order_key", "left").select("repair_id", F.coalesce("found", F.lit("")).alias("found"))
+
+
+def _with_footers(spark, d, name, synced):
+    path = f"{_shared(spark)}/{name}"
+    layout.with_load_time(roles.DATASETS[name](spark, d), synced).write.parquet(path)
+    return layout.from_footers(spark, path)
+
+
+@query
+def export_version_footers(spark, d):
+    return layout.version(_with_footers(spark, d, "repairs", "synced_at"), "repairs")
+
+
+@query
+def data_status_footers(spark, d):
+    return layout.status(_with_footers(spark, d, "postings", "synced_at"), "postings")
+
+
+def _item_states(spark, d):
+    """Attempts at items as a stream of two runs: what came before the middle of the month, and what came later."""
+    root, session = _shared(spark), items.with_rocksdb(spark)
+    attempts = roles.table(spark, d, "events").selectExpr("concat('P', user_id) AS key", "cast(ts AS timestamp) AS at", "value <= 15 AS ok", "CASE WHEN value <= 15 THEN event_type END AS digest")
+    for n, part in enumerate((F.col("at") < "2024-01-16", F.col("at") >= "2024-01-16")):
+        attempts.where(part).write.parquet(f"{root}/in/run={n}")
+        passes.run_available(items.item_states(session.readStream.schema(attempts.schema).parquet(f"{root}/in/run=*")), f"{root}/out", f"{root}/marks")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query
+def stream_item_states(spark, d):
+    day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))
+    return items.latest(_item_states(spark, d)).select("key", F.coalesce("digest", F.lit("")).alias("digest"), day("first_seen").alias("first_seen"), day("last_change").alias("last_change"), "pending", "attempts", day("attempted").alias("attempted"), "seen")
+
+
+@query
+def stream_item_retries(spark, d):
+    return items.retries(_item_states(spark, d), 25).select("key", "attempts", F.date_format("attempted", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("attempted"))
+
+
+def _backfilled(spark, d):
+    return mapping.backfill_chain(roles.serial_repairs(spark, d), roles.serial_passes(spark, d), roles.orders(spark, d), roles.serial_orders(spark, d))
+
+
+@query
+def repair_backfill_steps(spark, d):
+    return _backfilled(spark, d)
+
+
+@query
+def repair_backfill_counts(spark, d):
+    return mapping.backfill_counts(_backfilled(spark, d))
+
+
+@query
+def stream_cursor_rows(spark, d):
+    """Two loads of station passes, the second with passes of the same days as the first; the cursor goes over those of known orders."""
+    root, columns = _shared(spark), ["GSTRS", "SPEC", "HISTROYID"]
+    known = roles.orders(spark, d).where("ZSTAT = 'F'").select(F.col("AUFNR").alias("board")).distinct()
+    rows = roles.stations(spark, d).select(*columns, "AUFNR").join(known, F.trim("AUFNR") == F.col("board"), "left")
+    spark.dataSource.register(cursor.CursorRows)
+    for first, last in (("20240101", "20240112"), ("20240110", "20240120")):
+        cursor.store(rows.where(F.col("GSTRS").between(first, last)), F.col("board").isNotNull(), columns, f"{root}/rows")
+        stream = spark.readStream.format("cursor_rows").schema("GSTRS string, SPEC string, HISTROYID string, AUFNR string").options(path=f"{root}/rows", columns=",".join(columns)).load()
+        passes.run_available(stream, f"{root}/out", f"{root}/marks")
+    return spark.read.parquet(f"{root}/out")

@@ -60,3 +60,28 @@ def only_value(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) of the keys that have one value; buckets by the key are grouped where they are."""
     ends = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"))
     return ends.where("least = most").select(key, F.col("least").alias(value))
+
+
+def with_load_time(rows: DataFrame, synced: str) -> DataFrame:
+    """The rows with ``synced_us``, the load time in microseconds: a number, so that files know its range."""
+    return rows.withColumn("synced_us", F.unix_micros(F.col(synced).cast("timestamp")))
+
+
+def from_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset for counts and ranges: read in a session of its own, whose plans take counts, least and greatest numbers from the files' footers."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    session.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    return session.read.parquet(path)
+
+
+def version(stored_rows: DataFrame, name: str) -> DataFrame:
+    """``count:latest`` of a dataset stored with its load time; no row group is read if it is opened by ``from_footers``."""
+    found = stored_rows.agg(F.count("*").alias("n"), F.max("synced_us").alias("latest"))
+    latest = F.coalesce(F.date_format(F.timestamp_micros("latest"), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    return found.select(F.lit(name).alias("dataset"), F.concat_ws(":", F.col("n").cast("string"), latest).alias("version"))
+
+
+def status(stored_rows: DataFrame, name: str) -> DataFrame:
+    found = stored_rows.agg(F.count("*").alias("rows"), F.max("synced_us").alias("latest"))
+    return found.select(F.lit(name).alias("dataset"), "rows", F.date_format(F.timestamp_micros("latest"), "yyyy-MM-dd HH:mm:ss").alias("latest"))

@@ -150,6 +150,29 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def serial_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station passes by serial number, of which some have one pair of orders, some several, some an incomplete one, and some no pass."""
+    return table(spark, sf_dir, "events").where("user_id % 6 != 4").selectExpr(
+        "event_id AS pass_id", "concat('N', user_id) AS PCODE", "lpad(cast(user_id + IF(user_id % 6 = 2, event_id % 2, 0) AS string), 12, '0') AS AUFNR", "IF(user_id % 6 = 3, ' ', concat('S', user_id)) AS KDAUF"
+    )
+
+
+def serial_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of the same serial numbers: without orders, with one that agrees, with another one, or complete."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "cast(event_id AS string) AS repair_id", "IF(event_id % 29 = 0, '', concat('N', user_id)) AS PCODE",
+        "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN cast(user_id AS string) WHEN 2 THEN IF(user_id % 2 = 0, concat('X', user_id), '  ') ELSE lpad(cast(user_id AS string), 12, '0') END AS AUFNR",
+        "CASE WHEN event_id % 4 != 3 THEN '' WHEN user_id % 6 = 3 THEN concat('S', user_id, event_id % 3) ELSE concat('S', user_id) END AS VBELN", "IF(event_id % 5 = 0, '', date_format(ts, 'yyyy-MM-dd')) AS GSTRS",
+    )
+
+
+def serial_orders(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two outer sources of a serial number's production order; each has serial numbers with two, and the second those that the first lacks."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "concat('N', user_id) AS PCODE")
+    one = lambda kinds, first: rows.where(f"user_id % 7 IN {kinds}").selectExpr("PCODE", f"concat('{first}', user_id, IF(user_id % 7 = 3, cast(event_id % 2 AS string), '')) AS AUFNR").distinct()
+    return {"KK": one("(0, 1, 3)", "0"), "SG": one("(1, 2, 3, 4)", "")}
+
+
 def service_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One web page an order, as a service desk writes them: a list of its parts in a form, labels, and a script."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("quantity"))
