@@ -54,6 +54,11 @@ def dropped(result: DataFrame, *tables: DataFrame) -> DataFrame:
     return result
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark deletes the shuffle files of plans that are done only then, which on an idle driver can be half an hour later."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
