@@ -138,3 +138,19 @@ def test_manifest_is_plain_json(spark, store, tmp_path):
     store.upsert(rows(spark, [("a", "1", 1)]), "t1", "s", 0)
     found = json.loads((tmp_path / "manifests" / "0000000001.json").read_text())
     assert found["streams"] == {"s": 0} and list(found["folders"]) == [str(rows(spark, [("a", None, None)]).select(store._bucket(8)).first()[0])]
+
+
+def test_backfill_by_pages_goes_on_where_it_stopped(spark, store, tmp_path):
+    store.upsert(rows(spark, [(f"k{i}", None if i % 3 else "set", i) for i in range(60)]), "t1")
+    value, where = F.concat(F.lit("v"), "at"), F.col("x").isNull()
+    pages = store.backfill("x", value, where, "t2", page=3)
+    (first, n) = next(pages)
+    # another writer sets one of the rows that are left
+    left = [r.k for r in store.read().where("x IS NULL").collect()]
+    store.upsert(rows(spark, [(left[0], "other", 0)]), "t3")
+    changed = n + sum(n for _, n in store.backfill("x", value, where, "t2", page=3, first=first))
+    found = {r.k: r.x for r in store.read().collect()}
+    assert changed == 40 - 1 and found[left[0]] == "other"
+    assert all(x == ("set" if int(k[1:]) % 3 == 0 else f"v{k[1:]}") for k, x in found.items() if k != left[0])
+    versions = store.versions()
+    assert [n for _, n in store.backfill("x", value, where, "t4")] == [0] and store.versions() == versions

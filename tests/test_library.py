@@ -162,3 +162,21 @@ def test_rows_out_of_the_window_fail_the_run(spark):
     assert runs.require_in_window(rows.where("k = 'a'"), day, "2026-01-01", "2026-01-31").count() == 1
     with pytest.raises(Exception, match="out of the window"):
         runs.require_in_window(rows, day, "2026-01-01", "2026-01-31").collect()
+
+
+def test_strict_flags_and_other_days(spark):
+    rows = spark.createDataFrame([("a", True, "2024-01-02"), ("b", False, "2024-01-05"), ("c", None, None)], "k string, is_company boolean, day string").withColumn("day", F.col("day").cast("date"))
+    hits = lambda **w: {r.k for r in rows.where(predicate(v.DECLARATIONS, Filter(**w))).collect()}
+    assert hits(strict_flags={"is_company": "yes"}) == {"a"} and hits(strict_flags={"is_company": "unknown"}) == {"b"} and hits(strict_flags={"is_company": " "}) == {"a", "b", "c"}
+    assert hits(flags={"is_company": "unknown"}) == {"a", "b", "c"}
+    assert hits(days={"day": ("2024-01-03", None)}) == {"b"} and hits(days={"day": (None, "2024-01-03")}) == {"a"}
+    assert Filter(strict_flags={"x": "n"}).is_bounded() and Filter(days={"day": (None, "2024-01-01")}).is_bounded() and not Filter(days={"day": (None, None)}).is_bounded()
+
+
+def test_a_source_scan_without_orders_reads_nothing(spark):
+    rows = spark.createDataFrame([("1", "7"), ("2", None)], "id string, AUFNR string")
+    spec = incremental.SourceSpec(("id",), None, None, None, ("id",))
+    assert [r.id for r in incremental.source_scan(rows, spec).collect()] == ["1", "2"]
+    assert incremental.source_scan(rows, spec, orders=[]).count() == 0 and [r.id for r in incremental.source_scan(rows, spec, orders=["7"]).collect()] == ["1"]
+    with pytest.raises(ValueError):
+        incremental.source_scan(rows, spec, "often")

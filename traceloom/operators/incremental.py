@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.functions.scalars import after, up_to
+from traceloom.functions.scalars import after, in_days, up_to
 from traceloom.operators.reconcile import classify
 
 
@@ -15,6 +17,35 @@ def since_mark(rows: DataFrame, time: str, mark: str, days: int, orders: list[st
     return found if orders is None else found.where(F.col("AUFNR").isin(*orders) if orders else F.lit(False))
 
 
+@dataclass(frozen=True)
+class SourceSpec:
+    """What a source's rows are read by: its columns, the time of its mark, the column of days that scopes it, its planned start, and its order."""
+
+    columns: tuple[str, ...]
+    mark: str | None
+    scope: str | None
+    planned: str | None
+    order: tuple[str, ...]
+
+
+def source_scan(rows: DataFrame, spec: SourceSpec, mode: str = "full", mark: str | None = None, look_back: int = 0, scope: tuple[str | None, str | None] = (None, None), orders: list[str] | None = None, planned: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """The columns of a source in its order: since the mark less ``look_back`` days in incremental mode, within the scope's days and those of the planned start, of the given orders.
+
+    An empty list of orders reads nothing; none at all reads all. Every condition is a comparison with a literal, so it reaches the scan.
+    """
+    if mode not in ("full", "incremental"):
+        raise ValueError(f"no mode {mode!r}")
+    found = rows
+    if mode == "incremental" and mark is not None and spec.mark:
+        found = found.where(F.col(spec.mark) >= F.lit(mark).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(look_back)} DAYS"))
+    for column, (first, last) in ((spec.scope, scope), (spec.planned, planned)):
+        if column and (first or last):
+            found = found.where(in_days(F.col(column), first, last))
+    if orders is not None:
+        found = found.where(F.col("AUFNR").isin(*orders) if orders else F.lit(False))
+    return found.select(*spec.columns).orderBy(*spec.order)
+
+
 def next_mark(rows: DataFrame, time: str, mark: str) -> DataFrame:
     """The greater of the mark and the newest row; it never goes back."""
     newest = F.date_format(F.max(time), "yyyy-MM-dd HH:mm:ss")

@@ -219,6 +219,17 @@ QUERIES = {
     "repair_backfill_steps": "SELECT repair_id, p2 AS AUFNR, s2 AS VBELN, g2 AS GSTRS, order_source, sales_source, start_source, conflict FROM backfilled",
     "repair_backfill_counts": "SELECT field, source, count(*) AS n FROM (SELECT 'order' AS field, order_source AS source FROM backfilled UNION ALL SELECT 'sales', sales_source FROM backfilled UNION ALL SELECT 'start', start_source FROM backfilled UNION ALL SELECT 'conflict', CASE WHEN conflict THEN 'stations' ELSE '' END FROM backfilled) WHERE source != '' GROUP BY 1, 2",
     "stream_cursor_rows": "SELECT GSTRS, SPEC, HISTROYID, AUFNR FROM passed WHERE GSTRS <= '20240112' UNION ALL SELECT GSTRS, SPEC, HISTROYID, AUFNR FROM passed WHERE GSTRS BETWEEN '20240110' AND '20240120' AND GSTRS || '/' || SPEC || '/' || HISTROYID > (SELECT max(GSTRS || '/' || SPEC || '/' || HISTROYID) FROM passed WHERE GSTRS <= '20240112')",
+    "source_scan_incremental": "SELECT HISTROYID, SPEC_TIME, GSTRS FROM stations WHERE synced_at >= TIMESTAMP '2024-01-17 06:00:00' AND gstrs_date BETWEEN DATE '2024-01-18' AND DATE '2024-01-25'",
+    "source_scan_of_orders": "SELECT HISTROYID, AUFNR, SPEC_TIME FROM stations WHERE synced_at >= TIMESTAMP '2024-01-02' AND AUFNR IN ('000000000003', '000000000017', '000000000042', '000000000099', '000000000512')",
+    "declarations_by_branches": "SELECT doa_code, doa_type, status FROM doa WHERE doa_type IN ('1-URGENT', '2-HIGH', '5-LOW') AND status IN ('F', 'O') AND o_orderkey % 4 != 0 AND declare_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' AND NOT is_company AND o_orderkey % 5 != 0 AND declare_date + 9 BETWEEN DATE '1994-02-01' AND DATE '1997-06-30'",
+    "declarations_by_people": "SELECT doa_code, 'C' || o_custkey AS customer_uid FROM doa WHERE o_custkey BETWEEN 7 AND 10 AND is_company AND o_orderkey % 13 IN (1, 10, 11, 12)",
+    "changes_by_branches": "SELECT conv_id || '-' || turn AS change_id, 'N' || turn AS part_number, 'OP' || (conv_id % 7) AS operator FROM conversations WHERE role IN ('user', 'assistant') AND turn IN (0, 1, 2) AND turn % 5 != 0 AND conv_id % 7 IN (1, 2, 3) AND DATE '2026-01-01' + CAST(conv_id % 300 AS INTEGER) BETWEEN DATE '2026-01-05' AND DATE '2026-09-30' AND conv_id % 3 != 0",
+    "declarations_export": "SELECT concat_ws(chr(9), doa_code, doa_type, status, declare_time, CASE WHEN is_company THEN 'true' ELSE 'false' END) AS line FROM doa WHERE status = 'F' AND o_orderkey % 5 != 0 AND declare_date + 9 >= DATE '1995-01-01'",
+    "store_backfill_pages": "SELECT order_id, CASE WHEN order_id LIKE '%7' THEN true ELSE contains(lower(o_orderpriority), 'urgent') END AS is_overseas, CASE WHEN order_id LIKE '%7' THEN '2026-01-01' ELSE '2026-02-01' END AS last_synced, CAST(CASE WHEN order_id LIKE '%7' THEN 1 ELSE 2 END AS INTEGER) AS sync_count FROM ords JOIN orders ON CAST(AUFNR AS BIGINT) = o_orderkey",
+    "full_row_keys": """SELECT repair_id, 'full_row:' || sha256('[["PCODE","' || PCODE || '"],["AUFNR","' || coalesce(AUFNR, '') || '"],["ZMCOD1","' || ZMCOD1 || '"]]') AS row_key FROM repairs""",
+    "order_open_columns": "SELECT order_id, 'W1' AS base, CASE WHEN ZSTAT = 'O' THEN GSTRS END AS late, LGORT AS zone FROM ords",
+    "detail_retry_queue": "SELECT doa_code, coalesce(CASE WHEN status != 'O' THEN declare_time END, '') AS attempted FROM doa WHERE o_orderkey % 4 = 0 ORDER BY CASE WHEN status != 'O' THEN declare_time END ASC NULLS FIRST, doa_code LIMIT 40",
+    "device_orders_on_board": "SELECT l_orderkey IS NOT NULL AND o_orderstatus = 'F' AS known, count(*) AS pieces, count(DISTINCT CASE WHEN l_orderkey IS NULL THEN 'unidentified:D' || o_orderkey || ':0' WHEN l_partkey % 5 = 0 THEN 'context:X' || l_suppkey ELSE 'product:P' || (l_partkey % 700) END) AS devices FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
 }
 
 STATS = """count(*) AS total, CAST(sum(CASE WHEN ERROR_CODE != '' OR coalesce(ERROR_MSG, '') != '' THEN 1 ELSE 0 END) AS BIGINT) AS with_error, count(*) FILTER (coalesce(U_FIX, '') != '') AS with_person, count(*) FILTER (coalesce(MATNR, '') != '') AS with_material,

@@ -13,7 +13,10 @@ from traceloom.plans.views import View
 
 @dataclass(frozen=True)
 class Filter:
-    """``values``: lists, by the names that the view knows. Dates are inclusive. Flags are texts; unknown ones don't filter."""
+    """``values``: lists, by the names that the view knows. Dates are inclusive. Flags are texts; unknown ones don't filter, but in ``strict_flags`` count as false.
+
+    ``days``: ranges of days of other date columns, by name.
+    """
 
     values: dict[str, str] = field(default_factory=dict)
     first_day: str | None = None
@@ -21,12 +24,14 @@ class Filter:
     date_column: str | None = None
     keyword: str = ""
     flags: dict[str, str] = field(default_factory=dict)
+    strict_flags: dict[str, str] = field(default_factory=dict)
+    days: dict[str, tuple[str | None, str | None]] = field(default_factory=dict)
     missing: tuple[str, ...] = ()
     present: tuple[str, ...] = ()
 
     def is_bounded(self) -> bool:
         """Whether any condition is set."""
-        return bool(any(v.strip() for v in self.values.values()) or self.first_day or self.last_day or self.keyword or self.missing or self.present or any(flag_value(v) is not None for v in self.flags.values()))
+        return bool(any(v.strip() for v in self.values.values()) or self.first_day or self.last_day or self.keyword or self.missing or self.present or any(flag_value(v) is not None for v in self.flags.values()) or any(v.strip() for v in self.strict_flags.values()) or any(x for ends in self.days.values() for x in ends))
 
 
 def predicate(view: View, wanted: Filter) -> Column:
@@ -50,6 +55,8 @@ def predicate(view: View, wanted: Filter) -> Column:
     if wanted.keyword:
         found.append(keyword_in(list(view.search), wanted.keyword))
     found += [F.col(c) == F.lit(flag) for c, v in wanted.flags.items() if (flag := flag_value(v)) is not None]
+    found += [F.col(c) == F.lit(flag_value(v) is True) for c, v in wanted.strict_flags.items() if v.strip()]
+    found += [in_days(F.col(c), first, last) for c, (first, last) in wanted.days.items() if first or last]
     found += [missing(c) for c in wanted.missing] + [~missing(c) for c in wanted.present]
     return all_of(found)
 

@@ -32,7 +32,7 @@ ORDERS = View(
     (("sales_order", ("VBELN",), 10), ("production_order", ("AUFNR",), 12)),
 )
 STATIONS = View(
-    "stations", "HISTROYID", "gstrs_date", ("HISTROYID", "PCODE", "AUFNR", "SPEC", "OPERATION", "GSTRS"), ("ACTUAL_START_TIME", "HISTROYID", "SPEC_TIME"),
+    "stations", "HISTROYID", "gstrs_date", ("HISTROYID", "PCODE", "OCODE", "AUFNR", "SPEC", "OPERATION", "GSTRS", "ACTUAL_START_TIME", "ACTUAL_END_TIME"), ("ACTUAL_START_TIME", "HISTROYID", "SPEC_TIME"),
     (("sn", ("PCODE",)), ("model", ("MAKTX_TH",)), ("station", ("PCODE", "LINE_CODE", "SPEC", "OPERATION")), ("base", ("LGORT", "WERKS"))),
     (("production_order", ("AUFNR",), 12), ("sales_order", ("KDAUF",), 10)), limit=100_000,
 )
@@ -47,12 +47,12 @@ BINDINGS = View(
     (("production_order", ("AUFNR_HEAD", "AUFNR_ITEM"), 12), ("head_order", ("AUFNR_HEAD",), 12), ("item_order", ("AUFNR_ITEM",), 12)),
 )
 DECLARATIONS = View(
-    "declarations", "doa_code", "declare_date", ("doa_code", "doa_type", "declare_reason", "service_uid", "status", "doa_judge", "customer_uid", "product_name"), ("declare_time", "doa_code"),
-    (("doa_code", ("doa_code",)), ("doa_type", ("doa_type",)), ("status", ("status",)), ("judgment", ("doa_judge",)), ("customer", ("customer_uid",)), ("service_order", ("service_uid",)), ("sn", ("device_sn",)), ("model", ("product_name",)), ("sales_order", ("sales_order",))),
+    "declarations", "doa_code", "declare_date", ("doa_code", "doa_type", "declare_reason", "service_uid", "status", "doa_judge", "customer_uid", "device_sn", "spare_part_sn", "product_name", "review_name", "detail_problem", "problem_conclusion", "declare_uid", "business_unit", "acceptance_uid"), ("declare_time", "doa_code"),
+    (("doa_code", ("doa_code",)), ("doa_type", ("doa_type",)), ("status", ("status",)), ("judgment", ("doa_judge",)), ("enrichment_status", ("enrichment_status",)), ("customer", ("customer_uid",)), ("service_order", ("service_uid",)), ("sn", ("device_sn",)), ("model", ("product_name",)), ("sales_order", ("sales_order",))),
     limit=250_000, needs_filter=True,
 )
 CHANGES = View(
-    "changes", "change_id", "create_date", ("so_code", "customer_name", "device_sn", "change_type", "part_number", "part_sn", "operator"), ("create_time", "change_id"),
+    "changes", "change_id", "create_date", ("so_code", "customer_name", "device_sn", "change_type", "part_number", "part_sn", "part_name", "original_code", "remark", "operator"), ("create_time", "change_id"),
     (("service_order", ("so_code",)), ("customer", ("customer_name",)), ("sn", ("device_sn",)), ("change_type", ("change_type",)), ("part_number", ("part_number",)), ("part_sn", ("part_sn",)), ("operator", ("operator",)), ("need_return", ("need_return",)), ("revoked", ("is_revoked",))),
     limit=250_000, needs_filter=True,
 )

@@ -886,3 +886,80 @@ def stream_cursor_rows(spark, d):
         stream = spark.readStream.format("cursor_rows").schema("GSTRS string, SPEC string, HISTROYID string, AUFNR string").options(path=f"{root}/rows", columns=",".join(columns)).load()
         passes.run_available(stream, f"{root}/out", f"{root}/marks")
     return spark.read.parquet(f"{root}/out")
+
+
+#: How the source of station passes is read.
+STATION_SOURCE = incremental.SourceSpec(("HISTROYID", "SPEC", "SPEC_TIME", "PCODE", "AUFNR", "GSTRS"), "synced_at", "synced_at", "gstrs_date", ("HISTROYID", "SPEC", "SPEC_TIME"))
+
+
+@query
+def source_scan_incremental(spark, d):
+    rows = incremental.source_scan(roles.stations(spark, d), STATION_SOURCE, "incremental", mark="2024-01-20 06:00:00", look_back=3, planned=("2024-01-18", "2024-01-25"))
+    return rows.select("HISTROYID", "SPEC_TIME", "GSTRS")
+
+
+@query
+def source_scan_of_orders(spark, d):
+    rows = incremental.source_scan(roles.stations(spark, d), STATION_SOURCE, scope=("2024-01-02", None), orders=[f"{n:012d}" for n in (3, 17, 42, 99, 512)])
+    return rows.select("HISTROYID", "AUFNR", "SPEC_TIME")
+
+
+@query
+def declarations_by_branches(spark, d):
+    wanted = Filter({"doa_type": "1-URGENT,2-HIGH,5-LOW", "status": "F， O", "judgment": "yes,no", "enrichment_status": "done"}, first_day="1993-01-01", last_day="1997-12-31", strict_flags={"is_company": "maybe"}, days={"acceptance_date": ("1994-02-01", "1997-06-30")})
+    return roles.declarations(spark, d).where(predicate(v.DECLARATIONS, wanted)).select("doa_code", "doa_type", "status")
+
+
+@query
+def declarations_by_people(spark, d):
+    wanted = Filter({"customer": "C7,C8,C9,C10,C11,C12", "sales_order": "0000000007,0000000008,0000000009,0000000010"}, keyword="fails at 1", strict_flags={"is_company": "yes"})
+    return roles.declarations(spark, d).where(predicate(v.DECLARATIONS, wanted)).select("doa_code", "customer_uid")
+
+
+@query
+def changes_by_branches(spark, d):
+    wanted = Filter({"change_type": "user,assistant", "part_number": "N0,N1,N2", "need_return": "yes,no", "revoked": "否", "operator": "OP1,OP2,OP3"}, first_day="2026-01-05", last_day="2026-09-30", strict_flags={"is_company": "否"})
+    return roles.changes(spark, d).where(predicate(v.CHANGES, wanted)).select("change_id", "part_number", "operator")
+
+
+@query
+def declarations_export(spark, d):
+    root = f"{_shared(spark)}/export"
+    wanted = Filter({"status": "F"}, days={"acceptance_date": ("1995-01-01", None)})
+    export.export_view(roles.declarations(spark, d), v.DECLARATIONS, wanted, ["doa_code", "doa_type", "status", "declare_time", "is_company"], root)
+    return spark.read.text(root).select(F.col("value").alias("line")).where("line NOT LIKE 'doa_code%'")
+
+
+@query
+def store_backfill_pages(spark, d):
+    """Orders of which some lack the overseas flag; it is set from the model, bucket by bucket, and those that have one keep it."""
+    orders = roles.orders(spark, d).selectExpr("order_id", "MAKTX", "CASE WHEN order_id LIKE '%7' THEN true END AS is_overseas")
+    store = KeyedStore(spark, _shared(spark), orders.schema, ["order_id"], buckets=8)
+    store.upsert(orders, "2026-01-01")
+    for _ in store.backfill("is_overseas", F.lower("MAKTX").contains("urgent"), F.col("is_overseas").isNull(), "2026-02-01", page=4):
+        pass
+    return store.read().select("order_id", "is_overseas", "last_synced", "sync_count")
+
+
+@query
+def full_row_keys(spark, d):
+    return roles.repairs(spark, d).select("repair_id", s.row_key("PCODE", "AUFNR", "ZMCOD1").alias("row_key"))
+
+
+@query
+def order_open_columns(spark, d):
+    """Fixed columns, then the open remainder of each order as columns of their own."""
+    rows = roles.orders(spark, d).selectExpr("order_id", "map_filter(map('zone', LGORT, 'late', CASE WHEN ZSTAT = 'O' THEN GSTRS END, 'base', WERKS), (k, v) -> v IS NOT NULL) AS rest")
+    return sinks.open_columns(rows, ["order_id"], "rest").select("order_id", "base", "late", "zone")
+
+
+@query
+def detail_retry_queue(spark, d):
+    rows = roles.declarations(spark, d).selectExpr("doa_code", "enrichment_status = 'pending' AS waits", "CASE WHEN status != 'O' THEN declare_time END AS attempted")
+    return incremental.retry_queue(rows, "waits", "attempted", "doa_code", 40).select("doa_code", F.coalesce("attempted", F.lit("")).alias("attempted"))
+
+
+@query
+def device_orders_on_board(spark, d):
+    found = rollup.company_orders(rollup.evidence(roles.declarations(spark, d)), roles.orders(spark, d).where("ZSTAT = 'F'"))
+    return found.groupBy("known").agg(F.count("*").alias("pieces"), F.count_distinct("device").alias("devices"))

@@ -20,9 +20,14 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from traceloom.operators.read import newest_first
+from traceloom.plans.filters import Filter, bounded_predicate
+from traceloom.plans.views import View
+
 BYTE_ORDER_MARK = "﻿"
 _FORMULA = re.compile(r"[=+@]|-\D")
 _FLAT = str.maketrans("\t\r\n", "   ")
@@ -59,6 +64,13 @@ def csv_cell(value: object) -> str:
 KINDS = {"tsv": ("\t", "\n", lambda value: cell(value).translate(_FLAT)), "csv": (",", "\r\n", csv_cell)}
 
 
+def export_view(rows: DataFrame, view: View, wanted: Filter, columns: list[str], path: str, kind: str = "tsv") -> None:
+    """Write what a view's filter finds, newest first: all of it, or nothing if the view needs a filter and has none, or has more rows than its limit."""
+    found = rows.where(bounded_predicate(view, wanted)).orderBy(*newest_first(view)).select(*columns)
+    rows.sparkSession.dataSource.register(Export)
+    found.write.format("export").options(path=path, kind=kind, limit=str(view.limit)).mode("append").save()
+
+
 class Export(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -164,6 +165,23 @@ class KeyedStore:
         self._publish(after)
         return after
 
+    def backfill(self, column: str, value: Column, where: Column, now: str, page: int = 16, first: int = 0) -> Iterator[tuple[int, int]]:
+        """Set ``column`` to ``value`` in the rows that meet ``where`` and whose value would change, ``page`` buckets at a time; yields (next bucket, rows changed) after each.
+
+        Each page looks at the newest version, so a row that another writer has changed meanwhile is judged anew, and an interrupted run goes on from the
+        bucket it was given last. Buckets without such a row aren't written.
+        """
+        buckets = self.manifest().buckets
+        for start in range(first, buckets, page):
+            before = self.manifest()
+            rows = self._folders(before, [str(b) for b in range(start, min(start + page, buckets))]).where(where).withColumn("_new", value.cast(self.schema[column].dataType))
+            rows = rows.where(~F.col("_new").eqNullSafe(F.col(column))).withColumn(column, F.col("_new")).select(*self.keys, *self.values).persist()
+            changed = rows.count()
+            if changed:
+                self.upsert(rows, now)
+            rows.unpersist()
+            yield min(start + page, buckets), changed
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete the manifests of all but the newest ``keep`` versions, and the folders that no kept one names; returns the folders' names."""
         versions = self.versions()

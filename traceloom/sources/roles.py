@@ -91,7 +91,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN event_id % 9 = 0 THEN '  ' ELSE lpad(cast(event_id % 16000 AS string), 12, '0') END AS AUFNR",
         "CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 10 = 1 THEN concat('X', event_id % 1500) ELSE lpad(cast(event_id % 1500 AS string), 10, '0') END AS KDAUF",
         "date_format(ts, 'yyyyMMdd') AS GSTRS", "event_type AS OPERATION", "concat('LINE', event_id % 5) AS LINE_CODE", "concat('T', event_id % 6) AS MAKTX_TH",
-        "concat('L', event_id % 7) AS LGORT", "'W1' AS WERKS", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ACTUAL_START_TIME", "ts AS synced_at",
+        "concat('L', event_id % 7) AS LGORT", "'W1' AS WERKS", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ACTUAL_START_TIME", "date_format(ts + INTERVAL 90 SECONDS, 'yyyy-MM-dd HH:mm:ss') AS ACTUAL_END_TIME", "concat('O', event_id % 800) AS OCODE", "ts AS synced_at",
     )
     return rows.withColumn("gstrs_date", parse_date("GSTRS")).withColumn("order_key", norm_order("AUFNR"))
 
@@ -127,6 +127,8 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN o_orderkey % 6 = 0 THEN concat(' xnc', o_custkey) WHEN o_orderkey % 6 = 1 THEN concat('XNC', o_custkey) ELSE concat('SH', o_custkey) END AS service_uid",
         "'' AS declare_reason", "concat('C', o_custkey) AS customer_uid", "concat('SN', o_custkey % 500) AS device_sn", "o_orderpriority AS product_name",
         "lpad(cast(o_custkey AS string), 10, '0') AS sales_order", "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') AS declare_time", "cast(o_orderdate AS date) AS declare_date", "o_orderdate AS synced_at",
+        "CASE WHEN o_orderkey % 4 = 0 THEN 'pending' ELSE 'done' END AS enrichment_status", "o_orderkey % 6 IN (0, 1) AS is_company", "CASE WHEN o_orderkey % 5 != 0 THEN date_add(cast(o_orderdate AS date), 9) END AS acceptance_date",
+        "concat('SP', o_custkey % 90) AS spare_part_sn", "'' AS review_name", "concat('fails at ', o_orderkey % 13, ' C') AS detail_problem", "'' AS problem_conclusion", "concat('U', o_custkey % 17) AS declare_uid", "concat('BU', o_custkey % 3) AS business_unit", "'' AS acceptance_uid",
     )
     parts = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey",
@@ -145,7 +147,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a part change."""
     return table(spark, sf_dir, "conversations").selectExpr(
         "concat(conv_id, '-', turn) AS change_id", "concat('XNC', conv_id) AS so_code", "role AS change_type", "concat('N', turn) AS part_number", "concat('S', conv_id % 40) AS device_sn",
-        "concat('PS', conv_id % 90) AS part_sn", "'' AS customer_name", "'' AS operator", "CASE WHEN turn % 3 = 0 THEN 'yes' ELSE 'no' END AS need_return", "CASE WHEN turn % 5 = 0 THEN '是' ELSE '否' END AS is_revoked",
+        "concat('PS', conv_id % 90) AS part_sn", "'' AS customer_name", "concat('OP', conv_id % 7) AS operator", "concat('name ', turn) AS part_name", "concat('OC', conv_id % 33) AS original_code", "'' AS remark", "conv_id % 3 = 0 AS is_company", "CASE WHEN turn % 3 = 0 THEN 'yes' ELSE 'no' END AS need_return", "CASE WHEN turn % 5 = 0 THEN '是' ELSE '否' END AS is_revoked",
         "date_add(DATE '2026-01-01', cast(conv_id % 300 AS int)) AS create_date", "cast(date_add(DATE '2026-01-01', cast(conv_id % 300 AS int)) AS string) AS create_time",
     )
 
