@@ -39,6 +39,42 @@ def test_equal_texts_share_one_place_and_reruns_agree(spark):
         assert (row.width * row.height, row.sample_bits) == (row.payload_bytes, 8)
 
 
+def test_a_later_attempt_never_points_into_bytes_of_another(tmp_path, monkeypatch):
+    class Task:
+        def __init__(self, attempt):
+            self.attempt = attempt
+
+        def partitionId(self):
+            return 3
+
+        def taskAttemptId(self):
+            return 70 + self.attempt
+
+        def attemptNumber(self):
+            return self.attempt
+
+    payloads = [media.payload_of(f"text {i} " * 50)[0] for i in range(6)]
+    shards = []
+    for attempt, order in ((0, payloads), (1, payloads[::-1])):
+        monkeypatch.setattr(media.TaskContext, "get", lambda attempt=attempt: Task(attempt))
+        writer = media._Shards(f"file://{tmp_path}", 1 << 20)
+        places = {p: writer.add(hashlib.sha256(p).digest(), p) for p in order}
+        writer.close()
+        shards.append(places)
+    for places in shards:
+        for payload, (name, offset, length) in places.items():
+            assert (tmp_path / name).read_bytes()[offset : offset + length] == media.to_png(payload)
+    assert {p[0] for p in shards[0].values()} != {p[0] for p in shards[1].values()}
+    # a first attempt that is still writing when another one is done fails, instead of naming bytes of the other
+    monkeypatch.setattr(media.TaskContext, "get", lambda: Task(0))
+    slow = media._Shards(f"file://{tmp_path}/new", 1 << 20)
+    slow.system.create_dir(f"{tmp_path}/new")
+    slow.add(b"x" * 32, payloads[0])
+    (tmp_path / "new" / slow.name).write_bytes(b"other")
+    with pytest.raises(RuntimeError, match="another attempt"):
+        slow.close()
+
+
 def test_png_is_read_by_another_decoder(spark):
     payload, _ = media.payload_of("some text of a page " * 20)
     png = media.to_png(payload)

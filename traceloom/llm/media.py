@@ -99,19 +99,25 @@ def feature_of(payload: bytes) -> str:
 
 
 class _Shards:
-    """Writes tar members one after another; a new file begins when one is full."""
+    """Writes tar members one after another; a new file begins when one is full.
+
+    A later attempt at a partition can meet its rows in another order, so its shards have names of their own: what an attempt's index rows name, it has written itself.
+    Shards of attempts that failed are named by no index row.
+    """
 
     def __init__(self, folder: str, limit: int):
         self.system, self.folder = fs.FileSystem.from_uri(folder)
         self.limit, self.out, self.at, self.known, self.number = limit, None, 0, {}, 0
         task = TaskContext.get()
-        self.partition, self.attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
+        self.partition, self.attempt, self.again = (task.partitionId(), task.taskAttemptId(), task.attemptNumber() > 0) if task else (0, 0, False)
 
     def add(self, digest: bytes, payload: bytes) -> tuple[str, int, int]:
         if digest in self.known:
             return self.known[digest]
         if self.out is None:
             self.name, self.at = f"shard-{self.partition:06d}-{self.number:04d}.tar", 0
+            if self.again or self._there():
+                self.name = f"shard-{self.partition:06d}-{self.number:04d}-{self.attempt}.tar"
             self.number += 1
             self.out = self.system.open_output_stream(f"{self.folder}/{self.name}.{self.attempt}")
         media = to_png(payload)
@@ -129,13 +135,16 @@ class _Shards:
         if self.out is not None:
             self.out.write(bytes(1024))
             self.out.close()
-            mine, place = f"{self.folder}/{self.name}.{self.attempt}", f"{self.folder}/{self.name}"
-            if self.system.get_file_info(place).type == fs.FileType.NotFound:
-                self.system.move(mine, place)
-            else:  # another attempt has written the same bytes
+            mine = f"{self.folder}/{self.name}.{self.attempt}"
+            if self._there():
                 self.system.delete_file(mine)
+                raise RuntimeError(f"another attempt has written {self.name}")
+            self.system.move(mine, f"{self.folder}/{self.name}")
         self.out, self.known = None, {}
 
+    def _there(self) -> bool:
+        return self.system.get_file_info(f"{self.folder}/{self.name}").type != fs.FileType.NotFound
+
 
 def write_media(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
     """Store every text; returns the shards' folder and the written index of ``docs``' rows."""
