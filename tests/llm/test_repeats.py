@@ -78,3 +78,13 @@ def test_hot_passage_with_more_contexts_than_a_part_takes(spark):
     found = {x.doc_id: x for x in r.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
     for i, (t, mask) in enumerate(zip(texts, brute([t.encode() for t in texts], r.WINDOW))):
         assert bytes(found[i].kept) == bytes(np.frombuffer(t.encode(), np.uint8)[~mask]), i
+
+
+def test_texts_in_parts_have_the_same_anchors():
+    rng = np.random.default_rng(3)
+    for size in (399, 400, 1000, 1001, 1600, 5003):
+        raw = rng.integers(97, 101, size).astype(np.uint8)
+        raw[size // 2 :] = raw[: size - size // 2]
+        of = lambda found: [(int(w), int(h)) for h, f, z in zip(*found) for w in range(f, z + 1)]
+        whole, parts = of(r.anchors(raw)), of(r.anchors(raw, most=1000))
+        assert whole == parts and [w for w, _ in whole] == list(range(max(0, size - r.WINDOW + 1)))

@@ -76,8 +76,16 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def anchors(raw: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window) of each run of windows with one anchor."""
+def anchors(raw: np.ndarray, gram: int = GRAM, most: int = 1 << PLACE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, last window) of each run of windows with one anchor. Texts of more than ``most`` bytes, whose places have no room beside
+    the hashes, are taken in parts that have each window once; a run across two parts is two runs."""
+    if len(raw) <= most:
+        return _anchors(raw, gram)
+    found = [(at, _anchors(raw[at : at + most], gram)) for at in range(0, len(raw) - WINDOW + 1, most - WINDOW + 1)]
+    return np.concatenate([h for _, (h, _, _) in found]), np.concatenate([f + at for at, (_, f, _) in found]), np.concatenate([z + at for at, (_, _, z) in found])
+
+
+def _anchors(raw: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(raw) < WINDOW:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = gram_hashes(raw, gram)
