@@ -55,6 +55,8 @@ class Pieces:
         byte = {int(names[i][3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         if len(byte) != 256 or any(BLANK in names[i].lstrip(BLANK) for i in plain):
             raise ValueError("a model with byte pieces and without inner blanks is needed")
+        if n > 1 << 15:
+            raise ValueError("a model of at most 32,768 pieces is needed: pairs of ids are keys of 30 bits")
         ids = {names[i]: i for i in plain}
         self.byte = np.array([byte[b] for b in range(256)], np.int32)
         self.chars = np.full(0x110000, -1, np.int32)
