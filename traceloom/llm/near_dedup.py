@@ -250,10 +250,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, one of each class: that of the least ``doc_id`` (nulls last), then of the least text key."""
+    """The rows of ``docs``, one of each class: that of the least ``doc_id`` (nulls last), then of the least text key, then the one that comes first as JSON."""
     found = classes(docs, threshold)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key(F.col("text")).alias("own_key"))
     chosen = rows.join(kept, (F.col("own_key") == F.col("kept_key")) & F.col("own_id").eqNullSafe(F.col("kept_id")))
-    return chosen.groupBy("own_key", "own_id").agg(F.first("row").alias("row")).select("row.*")
+    return chosen.groupBy("own_key", "own_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
