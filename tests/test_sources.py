@@ -21,7 +21,7 @@ def store(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("answers")
     rows = [(f"{i % 9:012d}", i, date(2024, 1, 1 + i % 20), "SG" if i % 2 else "KK") for i in range(400)]
     df = spark.createDataFrame(rows, "AUFNR string, n long, posted date, source string")
-    dated.record(df.select("AUFNR", "n", "posted"), F.col("posted"), F.expr("CASE WHEN n % 2 = 1 THEN 'SG' ELSE 'KK' END"), f"file://{root}/all", chunks=3)
+    dated.record(df.select("AUFNR", "n", "posted"), F.col("posted"), F.expr("CASE WHEN n % 2 = 1 THEN 'SG' ELSE 'KK' END"), f"file://{root}/all", most=4)
     return f"file://{root}/all", rows
 
 
@@ -88,6 +88,12 @@ def test_an_answer_without_data_is_empty(spark, tmp_path):
     assert read(spark, f"file://{tmp_path}", start="2024-01-01", end="2024-01-07").count() == 0
 
 
+def test_lines_end_only_where_they_do(spark, tmp_path):
+    rows = spark.createDataFrame([("a\u2028b\x85c\rd\ne", date(2024, 1, 3))], "AUFNR string, posted date")
+    dated.record(rows, F.col("posted"), F.lit("SG"), f"file://{tmp_path}/in")
+    assert [r.AUFNR for r in read(spark, f"file://{tmp_path}/in", start="2024-01-01", end="2024-01-07").collect()] == ["a\u2028b\x85c\rd\ne"]
+
+
 def test_a_service_is_asked_window_by_window(spark, store):
     seen = []
 

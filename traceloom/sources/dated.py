@@ -14,6 +14,7 @@ Spark still checks them). The url of a folder has recorded answers, one envelope
 
 from __future__ import annotations
 
+import io
 import json
 import urllib.request
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from pyspark.sql.types import DateType, StringType, StructType
 FAILED = ("E", "A", "X")
 NOTHING = ("no data", "无数据")
 WINDOW, MOST_AD_HOC, ORDER_LENGTH = 7, 31, 40
-#: Rows that leave a task together.
-TOGETHER = 10_000
+#: Rows that leave a task together, and rows of a recorded answer.
+TOGETHER, ANSWER = 10_000, 2_000
 
 
 class SourceError(RuntimeError):
@@ -78,9 +79,8 @@ def recorded(url: str, source: str, first: date, last: date) -> Iterator[object]
         folder = fs.FileSelector(f"{root}/source={source}/day={first + timedelta(n)}", allow_not_found=True)
         for file in sorted(store.get_file_info(folder), key=lambda f: f.path):
             if file.is_file and not file.base_name.startswith((".", "_")):
-                with store.open_input_stream(file.path) as lines:
-                    text = pa.PythonFile(lines, mode="r") if not hasattr(lines, "readlines") else lines
-                    yield from (json.loads(line) for line in text.read().decode().splitlines() if line.strip())
+                with io.TextIOWrapper(store.open_input_stream(file.path), "utf-8", newline="\n") as lines:
+                    yield from (json.loads(line) for line in lines if line.strip())
 
 
 def asked(url: str, source: str, first: date, last: date, timeout: int) -> Iterator[object]:
@@ -134,7 +134,9 @@ class DatedReader(DataSourceReader):
     def partitions(self) -> list[Window]:
         return windows(self.start, self.end, self.days)
 
-    def read(self, window: Window) -> Iterator[pa.RecordBatch]:
+    def read(self, window: Window | None) -> Iterator[pa.RecordBatch]:
+        if window is None:  # filters leave no day
+            return
         answers = asked(self.url, self.source, window.first, window.last, self.timeout) if self.url.startswith(("http://", "https://")) else recorded(self.url, self.source, window.first, window.last)
         held: list[dict] = []
         for answer in answers:
@@ -171,9 +173,11 @@ class NarrowedReader(DatedReader):
             yield f
 
 
-def record(rows: DataFrame, day: Column, source: Column, path: str, chunks: int = 16) -> None:
-    """Write rows as recorded answers: some ``chunks`` envelopes a source and day, each of the rows whose hash falls to it."""
+def record(rows: DataFrame, day: Column, source: Column, path: str, most: int = ANSWER) -> None:
+    """Write rows as recorded answers: the rows of a source and day are dealt by a hash of their values to so many envelopes that one has about ``most`` rows or fewer."""
     row = F.struct("*")
     envelope = F.concat(F.lit('{"MSGTY": "S", "MSGTX": "", "DATA": '), F.to_json(F.collect_list("row")), F.lit("}"))
-    dealt = rows.select(row.alias("row"), source.alias("source"), day.alias("day"), F.pmod(F.xxhash64(*rows.columns), F.lit(chunks)).alias("chunk"))
-    dealt.groupBy("source", "day", "chunk").agg(envelope.alias("value")).drop("chunk").write.partitionBy("source", "day").text(path)
+    dated = rows.select(row.alias("row"), source.alias("source"), day.alias("day"), F.xxhash64(*rows.columns).alias("hash"))
+    largest = dated.groupBy("source", "day").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    chunk = F.pmod("hash", F.lit(max(1, -(-largest // most)))).alias("chunk")
+    dated.groupBy("source", "day", chunk).agg(envelope.alias("value")).drop("chunk").write.partitionBy("source", "day").text(path)
