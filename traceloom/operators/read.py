@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from traceloom.functions.scalars import first_text, norm_order, text
 from traceloom.plans.filters import Filter, bounded_predicate, lookup_predicate, member_of, predicate
@@ -32,8 +33,8 @@ def total(rows: DataFrame, view: View, wanted: Filter) -> DataFrame:
 def preview(rows: DataFrame, view: View, wanted: Filter, size: int = PAGE) -> DataFrame:
     """The first page, each row with ``has_more``: whether a next one exists. Reads size + 1 rows and counts nothing."""
     first = rows.where(predicate(view, wanted)).orderBy(*newest_first(view)).limit(size + 1)
-    seen = first.agg(F.count("*").alias("seen"))
-    return first.orderBy(*newest_first(view)).limit(size).crossJoin(F.broadcast(seen)).withColumn("has_more", F.col("seen") > size).drop("seen")
+    counted = first.withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(True))) > size)
+    return counted.orderBy(*newest_first(view)).limit(size)
 
 
 def bulk(rows: DataFrame, view: View, wanted: Filter) -> DataFrame:
