@@ -89,8 +89,9 @@ def test_rivals_null_keys_and_empty(spark, store):
     assert store.read().count() == 0
     store.upsert(rows(spark, [("a", "1", 1), ("a", "1", 1), (None, "n", 1)]), "t1")
     assert content(store.read().where("k IS NOT NULL")) == [("a", "1", 1, "t1", "t1", 1)]
-    with pytest.raises(Exception, match="different rows of one key"):
-        store.upsert(rows(spark, [("a", "1", 1), ("a", "2", 1)]), "t2")
+    for rivals in ([("a", "1", 1), ("a", "2", 1)], [("a", "2", 1), ("a", "1", 1)], [("z", "2", 1), ("z", None, 1)]):
+        with pytest.raises(Exception, match="different rows of one key"):
+            store.upsert(rows(spark, rivals), "t2")
     assert store.versions() == [1]
     store.upsert(rows(spark, []), "t3")
     store.delete(rows(spark, [(None, None, None)]))

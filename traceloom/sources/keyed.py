@@ -136,7 +136,7 @@ class KeyedStore:
         when = F.struct(F.col(f"value.{self.order}"), "side") if self.order else F.struct("side")
         of_new = F.when(F.col("side") == 1, F.to_json("value"))
         # without an order, rows of one key must be equal; with one, those that are latest
-        rival = F.max_by(of_new, when) != F.min(of_new) if not self.order else F.lit(False)
+        rival = F.max(of_new) != F.min(of_new) if not self.order else F.lit(False)
         grouped = old.unionByName(new).repartition(tasks, "_bucket").groupBy("_bucket", *self.keys).agg(
             F.max_by("value", when).alias("value"), F.max_by("side", when).alias("side"), F.any_value(F.when(F.col("side") == 0, F.col("value")), True).alias("old"), F.any_value("kept", True).alias("kept"), rival.alias("rival"),
         )
