@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import small_or_not, stored
+from traceloom.llm.common import BATCH, setting, small_or_not, stored
 from traceloom.llm.components import components
 from traceloom.llm.shingles import mix, run_means, shingle_hashes, word_hashes
 
@@ -50,6 +50,8 @@ DEVIATIONS = 4
 BROADCAST_KEYS = 100_000
 #: Weighted shingle sets that a task keeps while it verifies pairs.
 KEPT_SETS = 64
+#: Texts that Python is handed at once: a batch stands in memory several times, on both sides.
+TEXTS_AT_ONCE = "500"
 
 _draws: dict[int, list[np.ndarray]] = {}
 
@@ -139,7 +141,9 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         slots = np.flatnonzero(seen)
         yield pd.DataFrame({"slot": np.append(slots, -1), "n": np.append(seen[slots], n)})
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    with setting(docs.sparkSession, BATCH, TEXTS_AT_ONCE):
+        counted = counted.toArrow()
     slots, counts = (counted.column(x).to_numpy() for x in ("slot", "n"))
     seen = np.zeros(1 << SLOT_BITS)
     seen[slots[slots >= 0]] = counts[slots >= 0]
@@ -155,7 +159,8 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_key": batch["text_key"], "bands": found})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
-    return stored(rows.mapInPandas(sign, "doc_id long, text_key binary, bands array<long>"), "signatures")
+    with setting(docs.sparkSession, BATCH, TEXTS_AT_ONCE):
+        return stored(rows.mapInPandas(sign, "doc_id long, text_key binary, bands array<long>"), "signatures")
 
 
 def candidates(ids: DataFrame, docs: DataFrame, idf) -> DataFrame:
@@ -167,7 +172,8 @@ def candidates(ids: DataFrame, docs: DataFrame, idf) -> DataFrame:
     def drawn(texts: pd.Series) -> pd.Series:
         return pd.Series([sketch(*weighted_shingles(t, idf.value)) for t in texts], dtype=object)
 
-    return stored(texts.select("id", "text", drawn("text").alias("sketch")), "candidate-texts")
+    with setting(docs.sparkSession, BATCH, TEXTS_AT_ONCE):
+        return stored(texts.select("id", "text", drawn("text").alias("sketch")), "candidate-texts")
 
 
 def plausible(x: str, y: str, threshold: float) -> Column:
@@ -202,7 +208,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
             found = [similarity(of(bytes(a), s), of(bytes(b), t)) for a, s, b, t in zip(rows["a"], rows["text_a"], rows["b"], rows["text_b"], strict=True)]
             yield rows[["a", "b"]].assign(similarity=found)
 
-    return stored(pairs.join(other, "b").join(one, "a").mapInPandas(verify, "a binary, b binary, similarity double"), "verified")
+    with setting(texts.sparkSession, BATCH, TEXTS_AT_ONCE):
+        return stored(pairs.join(other, "b").join(one, "a").mapInPandas(verify, "a binary, b binary, similarity double"), "verified")
 
 
 def links(signed: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
