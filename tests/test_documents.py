@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 
 from pyspark.sql import functions as F
-from traceloom.operators import devices, identity, read
+from traceloom.operators import devices, documents, identity, read
 from traceloom.plans import views as v
 from traceloom.plans.filters import Filter
 from traceloom.sources import layout
@@ -204,3 +204,10 @@ def test_a_bulk_read_is_whole_beyond_the_limit_of_its_view(spark):
     found = read.bulk(rows, view, Filter({"judgment": "yes"})).collect()
     assert [(r.doa_code, r.total) for r in found] == [(f"D{i}", 5) for i in (5, 4, 3, 2, 1)]
     assert [(r.doa_code, r.total) for r in read.bulk(rows, view, Filter({"judgment": "yes"}), most=2).collect()] == [("D5", 5), ("D4", 5)]
+
+
+def test_option_lists_have_every_value_unless_a_cap_is_given(spark):
+    rows = spark.range(20_500).selectExpr("cast(id AS string) AS KUNNR", "concat(' x', id % 3) AS CPX")
+    assert {r.name: r.n for r in documents.option_lists(rows, ["KUNNR", "CPX"]).groupBy("name").agg(F.count("*").alias("n")).collect()} == {"KUNNR": 20_500, "CPX": 3}
+    with pytest.raises(ValueError, match="more than 20000"):
+        documents.option_lists(rows, ["KUNNR", "CPX"], cap=20_000)

@@ -59,11 +59,11 @@ def sales_order_match(repairs: DataFrame, orders: DataFrame) -> DataFrame:
     return joined.agg(F.count_if(F.col("known").isNotNull()).alias("matched"), F.count_if(own.isNotNull() & F.col("known").isNull()).alias("unmatched"), F.count_if(own.isNull()).alias("empty"))
 
 
-def option_lists(rows: DataFrame, columns: list[str], cap: int = 20_000) -> DataFrame:
-    """(name, value): the different values of several columns, trimmed and without blanks, by one pass; more than ``cap`` of one are an error."""
+def option_lists(rows: DataFrame, columns: list[str], cap: int | None = None) -> DataFrame:
+    """(name, value): the different values of several columns, trimmed and without blanks, by one pass; more than ``cap`` of one, if it is given, are an error."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), text(c).alias("value")) for c in columns]))
     found = rows.select(pairs.alias("p")).select("p.*").where("value IS NOT NULL").distinct()
-    if not found.groupBy("name").count().where(F.col("count") > cap).isEmpty():
+    if cap is not None and not found.groupBy("name").count().where(F.col("count") > cap).isEmpty():
         raise ValueError(f"more than {cap} values of one of {columns}")
     return found
 
