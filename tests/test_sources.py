@@ -2,6 +2,7 @@
 
 import json
 import threading
+from dataclasses import replace
 from datetime import date
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
@@ -9,6 +10,8 @@ from pathlib import Path
 import pytest
 
 from pyspark.sql import functions as F
+from traceloom.plans import views as v
+from traceloom.plans.filters import Filter
 from traceloom.sources import dated, export
 
 SCHEMA = "AUFNR string, n string, more string, posted date, asked_from date"
@@ -159,3 +162,13 @@ def test_export_of_nothing_has_a_header(spark, store, tmp_path):
 def test_csv_cells():
     cells = {"=1": "'=1", "-x": "'-x", "-5": "-5", 'a"b': '"a""b"', "x,y": '"x,y"', None: "", True: "true", 2.0: "2", 0.1: "0.1", date(2024, 1, 2): "2024-01-02"}
     assert {k: export.csv_cell(k) for k in cells} == cells
+
+
+def test_an_export_of_a_view_is_whole_beyond_its_limit(spark, store, tmp_path):
+    rows = spark.range(50).selectExpr("concat('D', id) AS doa_code", "cast(id + 100 AS string) AS declare_time", "'F' AS status")
+    view, wanted = replace(v.DECLARATIONS, limit=9), Filter({"status": "F"})
+    export.export_view(rows, view, wanted, ["doa_code"], f"file://{tmp_path}/out")
+    lines = [line for f in sorted((tmp_path / "out").iterdir()) for line in f.read_text().splitlines()[1:]]
+    assert lines == [f"D{i}" for i in range(49, -1, -1)]
+    with pytest.raises(Exception, match="more than 9"):
+        export.export_view(rows, view, wanted, ["doa_code"], f"file://{tmp_path}/other", limit=9)

@@ -64,11 +64,11 @@ def csv_cell(value: object) -> str:
 KINDS = {"tsv": ("\t", "\n", lambda value: cell(value).translate(_FLAT)), "csv": (",", "\r\n", csv_cell)}
 
 
-def export_view(rows: DataFrame, view: View, wanted: Filter, columns: list[str], path: str, kind: str = "tsv") -> None:
-    """Write what a view's filter finds, newest first: all of it, or nothing if the view needs a filter and has none, or has more rows than its limit."""
+def export_view(rows: DataFrame, view: View, wanted: Filter, columns: list[str], path: str, kind: str = "tsv", limit: int | None = None) -> None:
+    """Write what a view's filter finds, newest first: all of it, or nothing if the view needs a filter and has none, or if there are more rows than ``limit``, where one is given."""
     found = rows.where(bounded_predicate(view, wanted)).orderBy(*newest_first(view)).select(*columns)
     rows.sparkSession.dataSource.register(Export)
-    found.write.format("export").options(path=path, kind=kind, limit=str(view.limit)).mode("append").save()
+    found.write.format("export").options(path=path, kind=kind, limit="" if limit is None else str(limit)).mode("append").save()
 
 
 class Export(DataSource):
