@@ -10,6 +10,7 @@ from pathlib import Path
 import pytest
 
 from pyspark.sql import functions as F
+from traceloom import queries
 from traceloom.plans import views as v
 from traceloom.plans.filters import Filter
 from traceloom.sources import dated, export
@@ -172,3 +173,8 @@ def test_an_export_of_a_view_is_whole_beyond_its_limit(spark, store, tmp_path):
     assert lines == [f"D{i}" for i in range(49, -1, -1)]
     with pytest.raises(Exception, match="more than 9"):
         export.export_view(rows, view, wanted, ["doa_code"], f"file://{tmp_path}/other", limit=9)
+
+
+def test_the_export_of_station_passes_is_whole_beyond_the_limit_of_their_view(spark, monkeypatch):
+    monkeypatch.setattr(v, "STATIONS", replace(v.STATIONS, limit=3))
+    assert queries.export_newest_first(spark, "/root/testdata/sf0.001").count() > 3
