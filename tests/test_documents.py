@@ -1,5 +1,6 @@
 """Seek pages, canonical rows of snapshots, device documents, stored layouts."""
 
+import hashlib
 import random
 from dataclasses import replace
 
@@ -211,3 +212,29 @@ def test_option_lists_have_every_value_unless_a_cap_is_given(spark):
     assert {r.name: r.n for r in documents.option_lists(rows, ["KUNNR", "CPX"]).groupBy("name").agg(F.count("*").alias("n")).collect()} == {"KUNNR": 20_500, "CPX": 3}
     with pytest.raises(ValueError, match="more than 20000"):
         documents.option_lists(rows, ["KUNNR", "CPX"], cap=20_000)
+
+
+def many_parts(spark):
+    """20,050 pieces of one device over several batches, and three of others; equal pieces count each."""
+    piece = "named_struct('product', CASE WHEN id < 20050 THEN 'H' END, 'material_sn', 'M', 'context_value', concat('C', id), 'factory_date', IF(id % 2 = 0, '2026-01-02', '20260102'), 'production_order', concat('PO', id % 9000), 'sales_order', CAST(NULL AS string), 'model', ' ', 'factory_equipment', IF(id = 7, 'soon', ''), 'warranty_equipment', '', 'warranty_product', '2027-01-01')"
+    return spark.range(0, 20_053, 1, 3).selectExpr("concat('D', id % 15000) AS doa_code", "'no' AS doa_judge", "'s' AS status", "IF(id = 20050, 'XNC1', 'U') AS service_uid", "'SO' AS sales_order", "1 AS place", f"{piece} AS e")
+
+
+def test_a_device_of_many_pieces_is_one_row_of_a_summary(spark):
+    found = devices.pieces_of(many_parts(spark))
+    rows = {r.device: r for r in devices.summaries(found, F.concat_ws("|", "doa_code", "context")).collect()}
+    assert set(rows) == {"product:H", "context:C20050", "context:C20051", "context:C20052"}
+    hot = rows["product:H"]
+    lines = sorted(f"D{i % 15000}|C{i}" for i in range(20_050))
+    assert (hot.n_pieces, hot.basis, hot.digest) == (20_050, "product_barcode", hashlib.md5(";".join(lines).encode()).hexdigest())
+    assert (hot.production_order.status, hot.production_order.candidates) == ("conflict", sorted(f"PO{i}" for i in range(9000)))
+    assert hot.factory_date.asDict() == {"status": "invalid", "value": None, "candidates": ["2026-01-02"], "invalid": ["soon"]}
+    assert hot.warranty_end.value == "2027-01-01" and hot.model.asDict() == {"status": "missing", "value": None, "candidates": [], "invalid": []}
+    assert [r.device for r in devices.summaries(found, F.col("doa_code"), devices.DeviceFilter(company="yes")).collect()] == ["context:C20050"]
+
+
+def test_a_page_of_devices_is_found_before_any_documents(spark):
+    found = devices.pieces_of(many_parts(spark))
+    first = devices.page_devices(found, size=2)
+    assert first == ["context:C20050", "context:C20051"] and devices.page_devices(found, first[-1], 2) == ["context:C20052", "product:H"]
+    assert devices.page_devices(found, "product:H") == [] and devices.page_devices(found, wanted=devices.DeviceFilter(company="yes")) == ["context:C20050"]
